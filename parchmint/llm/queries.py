@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parchmint.llm.shared import new_folder, table
 
 END_ID = 1
+TOXIC = 0.3
 
 
 def _tokenizer_path() -> str:
@@ -44,6 +45,53 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.fit(docs, table(spark, sf_dir, "labels")).score(docs)
+    held_out = F.coalesce(~toxicity.may_teach(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm import ann
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    found = ann.nearest(rows, F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm import secrets
+
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["kind"] != "literal")
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias("n_" + k)
+    return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm import mixing
+
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm import maxscore
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    found = maxscore.top_k(rows, F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm import near_dedup
+
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parchmint.llm import packing
 
@@ -52,7 +100,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_wavelet": op2_wavelet, "op3_sharding": op3_sharding, "op10_packing": op10_packing}
+    every = (op1_pii, op2_wavelet, op3_sharding, op4_toxicity, op5_ann, op6_secrets, op7_mixing, op8_maxscore, op9_superminhash, op10_packing)
+    return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
