@@ -1,4 +1,4 @@
-"""All queries on the reference's operators, by name, and their SQL."""
+"""All queries on the document engine's operators, by name, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parchmint.plans import figures, layout, library
+
 FLAGSHIP = "statement_footing"
+_ALL = figures.QUERIES | layout.QUERIES | library.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q for name, (q, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
