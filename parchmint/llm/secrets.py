@@ -5,7 +5,7 @@ is lexed as source or configuration: pairs of a name (dotted, quoted, dashed) an
 ``:=``, ``=>`` or ``:``, with an optional type between. Literals, concatenations of literals and names of constants
 assigned before are resolved, so a literal stored under a harmless name and later given to ``db_password`` is found where
 it is written. A literal is scored by the words of the names it reaches and by its own look (length, variety of
-characters, placeholders); from ``THRESHOLD`` on it is a span of kind ``literal``, unless a base span holds it.
+characters, placeholders); from ``THRESHOLD`` on it is a span of kind ``literal``, unless a base span holds all of it.
 
 Cases: a null text is empty and has no span; repeated rows give repeated rows; a text without ``=`` and ``:`` is not
 lexed; an empty table gives an empty result; other columns are kept, save where a new column has their name.
@@ -123,7 +123,7 @@ def find(text: str | None) -> list[tuple[str, int, int, int, float, str]]:
                     if span[1] > span[0] and score > best.get(span, (0.0, ""))[0]:
                         best[span] = (score, name)
         for (a, b), (score, name) in best.items():
-            if not any(x < b and a < y for x, y in taken):
+            if not any(x <= a and b <= y for x, y in taken):
                 out.append(("literal", a, b, a, round(score, 6), name[:200]))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
