@@ -9,12 +9,13 @@ of a million cases) and one bit of each value makes a 256-bit sketch.
 1. Documents with equal sets form a class, represented by its smallest doc_id; only representatives go on.
 2. Buckets are counted; those with one member go, and of buckets with the same members one stays. A bucket is compared
    in blocks of ``BLOCK`` members, pairs of blocks for larger ones, so no task holds an unbounded bucket. Sketches that
-   agree in ``AGREE`` of the bits (similarity 0.6 is expected there; 0.8 falls below in 1 of 10 million) are candidates,
-   of which a block gives those that span it, nearest first.
-3. Candidates are verified on the full sets of both texts; links are grouped by alternating large-star and small-star
-   contraction, the union-find of a distributed edge list.
-4. Buckets whose members are still in different groups are compared again, and every candidate pair across groups that
-   wasn't verified is: so no link that could join two groups is left out, and no group is expanded into all its pairs.
+   agree in ``AGREE`` of the bits (similarity 0.6 is expected there; 0.8 falls below in 1 of 10 million) join into
+   families: a block gives only pairs that connect, not all of them.
+3. Links are verified on the full sets, family by family, again in bounded blocks and pairs of blocks: every two members
+   whose sketches agree are compared unless they are grouped already, and a block gives only the links that connect.
+   So no link that could join two groups is left out, and no group is expanded into all its pairs.
+4. Families and links are both grouped by alternating large-star and small-star contraction, the union-find of a
+   distributed edge list.
 
 Cases: null and empty texts and texts of white space have an empty set and are linked with nothing; fewer words than a
 shingle are one shingle; repeated rows get equal results; rows with one doc_id and different texts share their links;
@@ -23,7 +24,7 @@ rows with a null doc_id take no part and are kept; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -37,8 +38,12 @@ SLOTS, ROWS = 256, 6
 BANDS = SLOTS // ROWS
 BLOCK = 512
 AGREE = 0.80
-#: Ids that may be broadcast (8 bytes each); more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
+#: Shingles of a block whose full sets one task holds twice, at most, save a larger single document.
+BLOCK_SHINGLES = 1_000_000
+#: Rows that may be broadcast (some 100 bytes each at most); more are joined by shuffling.
+BROADCAST_ROWS = 200_000
+#: Edges per file of an edge list.
+EDGE_ROWS = 250_000
 CACHE_WORDS = 1_000_000
 _CHUNK = 1 << 16
 _U = np.uint64
@@ -51,6 +56,7 @@ def split(text: str | None) -> list[bytes]:
 
 
 def shingle_set(text: str | None, shingle: int) -> set[tuple[bytes, ...]]:
+    """A document's set, spelled out: what the hashes below stand for."""
     w = split(text)
     return set(zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else {tuple(w)} if w else set()
 
@@ -165,50 +171,57 @@ def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
         yield drain()
 
 
-def _find(parent: dict, x):
-    root = x
-    while parent[root] != root:
-        root = parent[root]
-    while parent[x] != root:
-        parent[x], x = root, parent[x]
-    return root
-
-
-def _block_pairs(rows: list[tuple], spanning: bool) -> list[tuple[int, int]]:
-    """Candidate pairs of one block or pair of blocks; rows: (side, doc, group, bits). Two sides: only pairs across."""
-    docs, groups = [r[1] for r in rows], [r[2] for r in rows]
-    crossing = rows[0][0] != rows[-1][0]
-    side = np.array([r[0] for r in rows])
-    bits = np.frombuffer(b"".join(r[3] for r in rows), _U).reshape(len(rows), -1)
-    group = np.unique(groups, return_inverse=True)[1]
-    least, pairs, agree = int(AGREE * SLOTS), [], []
+def _connect(rows: list[tuple], similar: Callable[[int, int], bool] | None) -> list[tuple[int, int]]:
+    """Pairs that connect the members of one block or pair of blocks; rows: (side, doc, bits, ...). With two sides only
+    pairs across count. Sketches must agree, and ``similar`` must hold where it is given."""
+    docs, side = [r[1] for r in rows], np.array([r[0] for r in rows])
+    bits = np.frombuffer(b"".join(r[2] for r in rows), _U).reshape(len(rows), -1)
+    crossing, most = rows[0][0] != rows[-1][0], SLOTS - int(AGREE * SLOTS)
+    label, out = np.arange(len(rows)), []
     for i in range(len(rows) - 1):
-        match = SLOTS - np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        ok = (match >= least) & (group[i + 1 :] != group[i])
+        apart = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        ok = (apart <= most) & (label[i + 1 :] != label[i])
         if crossing:
             ok &= side[i + 1 :] != side[i]
-        for j in np.flatnonzero(ok).tolist():
-            pairs.append((i, i + 1 + j))
-            agree.append(int(match[j]))
-    if spanning and len(pairs) > 1:
-        parent = {g: g for g in groups}
-        chosen = []
-        for p in sorted(range(len(pairs)), key=agree.__getitem__, reverse=True):
-            a, b = (_find(parent, groups[i]) for i in pairs[p])
-            if a != b:
-                parent[a] = b
-                chosen.append(pairs[p])
-        pairs = chosen
-    return [(min(docs[i], docs[j]), max(docs[i], docs[j])) for i, j in pairs]
-
-
-def _compare(batches: Iterator[pa.RecordBatch], spanning: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, p, q, side, doc, group, bits), sorted by bucket, p, q, side, doc: pairs (a, b)."""
+        found = np.flatnonzero(ok) + i + 1
+        for j in found[np.argsort(apart[found - i - 1], kind="stable")].tolist() if similar else found.tolist():
+            if label[j] != label[i] and docs[i] != docs[j] and (similar is None or similar(i, j)):
+                label[label == label[j]] = label[i]
+                out.append((min(docs[i], docs[j]), max(docs[i], docs[j])))
+    return out
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two ascending sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
+
+
+def _similar(sets: list[np.ndarray], percent: int) -> Callable[[int, int], bool]:
+    def test(i: int, j: int) -> bool:
+        n, m = len(sets[i]), len(sets[j])
+        if 100 * min(n, m) < percent * max(n, m):
+            return False
+        both = _shared(sets[i], sets[j])
+        return both > 0 and 100 * both >= percent * (n + m - both)
+
+    return test
+
+
+def _compare(batches: Iterator[pa.RecordBatch], shingle: int | None, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, p, q, side, doc, bits[, text]), sorted by key, p, q, side, doc: connecting pairs (a, b).
+
+    Without texts (``shingle`` None) sketches decide; with them the full sets do.
+    """
     now, rows, found = None, [], set()
 
     def close() -> None:
         if len(rows) > 1:
-            found.update(_block_pairs(rows, spanning))
+            sets = None if shingle is None else _similar([r[3] for r in rows], percent)
+            found.update(_connect(rows, sets))
 
     def drain() -> pa.RecordBatch:
         some = sorted(found)
@@ -216,63 +229,57 @@ def _compare(batches: Iterator[pa.RecordBatch], spanning: bool) -> Iterator[pa.R
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in some], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for bucket, p, q, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (bucket, p, q) != now:
+        for key, p, q, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, p, q) != now:
                 close()
-                now, rows = (bucket, p, q), []
+                now, rows = (key, p, q), []
                 if len(found) >= 50_000:
                     yield drain()
+            if shingle is not None:
+                row[3] = shingle_hashes(row[3], shingle)
             rows.append(row)
     close()
     if found:
         yield drain()
 
 
-def _candidates(members: DataFrame, spanning: bool) -> DataFrame:
-    """Distinct pairs from buckets: ``members`` has (bucket, n, doc, group, bits)."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc", "bucket"), blocks).cast("int")
+def _in_blocks(members: DataFrame, key: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, p, q, side, doc, bits, ...) sorted for ``_compare``; ``members``: key, blocks, doc, bits, ..."""
+    block = F.pmod(F.xxhash64("doc", key), F.col("blocks")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", block).select("bucket", "doc", "group", "bits", "block", others)
+    dealt = members.withColumn("block", block).select(key, "doc", "bits", "block", *more, others)
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    dealt = dealt.select("bucket", low.alias("p"), high.alias("q"), F.when(F.col("block") == low, 0).otherwise(1).alias("side"), "doc", "group", "bits")
+    side = F.when(F.col("block") == low, 0).otherwise(1).alias("side")
+    dealt = dealt.select(key, low.alias("p"), high.alias("q"), side, "doc", "bits", *more)
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "side", "doc")
-    return sorted_.mapInArrow(partial(_compare, spanning=spanning), "a long, b long").distinct()
+    return dealt.repartition(n, key, "p", "q").sortWithinPartitions(key, "p", "q", "side", "doc")
 
 
 def _only(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, k1, k2) whose text has that set."""
-    for batch in batches:
-        doc, text, k1, k2 = (c.to_pylist() for c in batch.columns)
-        ok = [set_key(shingle_hashes(t, shingle)) == (x, y) for t, x, y in zip(text, k1, k2, strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-
-def _verify(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    last, of_last = None, set()
+    """Rows (..., doc, k1, k2, text) whose text has that set, once per partition."""
+    seen = set()
     for batch in batches:
-        keep = []
-        for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if a != last:
-                last, of_last = a, shingle_set(ta, shingle)
-            other = shingle_set(tb, shingle)
-            both = len(of_last & other)
-            keep.append(both > 0 and 100 * both >= percent * (len(of_last) + len(other) - both))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    wanted = stored(ids.join(reps.select("doc", "k1", "k2"), "doc"), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
+        doc, k1, k2, text = (batch.column(batch.num_columns - i).to_pylist() for i in (4, 3, 2, 1))
+        ok = []
+        for d, x, y, t in zip(doc, k1, k2, text, strict=True):
+            ok.append(d not in seen and set_key(shingle_hashes(t, shingle)) == (x, y))
+            if ok[-1]:
+                seen.add(d)
+        yield batch.filter(pa.array(ok, pa.bool_()))
+
+
+def _links(docs: DataFrame, reps: DataFrame, families: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links that connect the groups within each family (doc, family), verified on full sets."""
+    told = families.join(reps.select("doc", "k1", "k2", "bits", "n_shingles"), "doc")
+    blocks = F.greatest(F.ceil(F.count("*") / (2 * BLOCK)), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sizes = told.groupBy("family").agg(blocks.alias("blocks"))
+    wanted = stored(told.join(sizes, "family").select("family", "blocks", "bits", "doc", "k1", "k2"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, docs["doc_id"] == wanted["doc"]).select("doc_id", "text", "k1", "k2")
-    texts = stored(texts.mapInArrow(partial(_only, shingle=shingle), "doc_id long, text string").dropDuplicates(["doc_id"]), "texts")
-    one, two = (texts.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in ("a", "b"))
-    rows = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
-    return stored(rows.mapInArrow(partial(_verify, shingle=shingle, percent=percent), "a long, b long"), "links")
+    texts = docs.join(wanted, docs["doc_id"] == wanted["doc"]).select("family", "blocks", "bits", "doc", "k1", "k2", "text")
+    texts = texts.mapInArrow(partial(_only, shingle=shingle), "family long, blocks int, bits binary, doc long, k1 long, k2 long, text string")
+    dealt = _in_blocks(texts.drop("k1", "k2"), "family", ("text",))
+    return stored(dealt.mapInArrow(partial(_compare, shingle=shingle, percent=percent), "a long, b long"), "links")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -281,19 +288,23 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     Large-star joins each node's larger neighbours to its smallest one, small-star its smaller ones; when neither changes
     an edge, every component is a star around its smallest node.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    def kept(rows: DataFrame, n: int) -> DataFrame:
+        return stored(rows.coalesce(max(1, n // EDGE_ROWS)), "edges")
+
+    n = links.count()
+    edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), n)
     state = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("group"))
-        state = now
+        state, n = now, now[0]
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = kept(small.union(small_least.select("u", F.col("m").alias("v"))).distinct(), n)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -302,10 +313,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     sketches = stored(docs.mapInArrow(partial(_sketch, shingle=shingle), SKETCH), "sketches")
     named = sketches.where("doc_id is not null and n_shingles > 0")
-    first = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bits", "bands")).alias("x"))
-    reps = stored(first.select("k1", "k2", F.col("x.doc_id").alias("doc"), F.col("x.bits").alias("bits"), F.col("x.bands").alias("bands")), "representatives")
+    first = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bits", "bands")).alias("x"))
+    reps = first.select("k1", "k2", F.col("x.doc_id").alias("doc"), "x.n_shingles", "x.bits", "x.bands")
+    reps = stored(reps, "representatives")
 
-    # distinct: a doc_id with two texts may stand twice in a bucket
     banded = reps.select("doc", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"),
@@ -314,20 +325,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     buckets = stored(buckets.groupBy("n", "low", "high", "s", "x").agg(F.min("bucket").alias("bucket")).drop("s", "x"), "buckets")
     pairs_of_two = buckets.where("n = 2").select("bucket", "n", F.explode(F.array("low", "high")).alias("doc"))
     larger = banded.join(buckets.where("n > 2").select("bucket", "n"), "bucket").select("bucket", "n", "doc")
-    sketch = reps.groupBy("doc").agg(F.min("bits").alias("bits"))
-    members = stored(pairs_of_two.union(larger).distinct().join(sketch, "doc").select("bucket", "n", "doc", "bits"), "members")
-
-    pairs = stored(_candidates(members.withColumn("group", F.col("doc")), True), "pairs")
-    links = _links(docs, reps, pairs, shingle, percent)
-    groups = components(spark, links)
+    sketch = reps.groupBy("doc").agg(F.min("bits").alias("bits"))  # a doc_id with two texts stands here once
+    members = pairs_of_two.union(larger).distinct().join(sketch, "doc")
+    members = members.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "doc", "bits")
+    compared = _in_blocks(members, "bucket").mapInArrow(partial(_compare, shingle=None, percent=0), "a long, b long")
+    pairs = stored(compared.distinct(), "pairs")
 
-    grouped = members.join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
-    split_ = grouped.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket")
-    rest = stored(_candidates(grouped.join(split_, "bucket"), False).join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _links(docs, reps, rest, shingle, percent)
-        if not more.isEmpty():
-            groups = components(spark, groups.select(F.col("doc").alias("a"), F.col("group").alias("b")).union(more))
+    families = components(spark, pairs).withColumnRenamed("group", "family")
+    families = families.union(families.select("family", "family").distinct())
+    groups = components(spark, _links(docs, reps, families, shingle, percent))
 
     of_class = reps.select("k1", "k2", "doc").join(groups, "doc", "left").select("k1", "k2", F.coalesce("group", "doc").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
@@ -340,6 +346,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` less the documents that aren't the smallest doc_id of their group; rows of one doc_id go together."""
     dropped = stored(near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("dropped")).distinct(), "dropped")
-    if dropped.count() <= BROADCAST_IDS:
+    if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     return docs.join(dropped, docs["doc_id"] == dropped["dropped"], "left_anti")
