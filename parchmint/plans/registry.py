@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmint.plans import figures, layout, library, reading
+from parchmint.plans import figures, layout, library, reading, statements
 
 FLAGSHIP = "statement_footing"
-_ALL = figures.QUERIES | layout.QUERIES | library.QUERIES | reading.QUERIES
+_ALL = figures.QUERIES | layout.QUERIES | library.QUERIES | reading.QUERIES | statements.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
