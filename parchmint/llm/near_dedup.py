@@ -324,7 +324,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     ).where("n > 1")
     buckets = stored(buckets.groupBy("n", "low", "high", "s", "x").agg(F.min("bucket").alias("bucket")).drop("s", "x"), "buckets")
     pairs_of_two = buckets.where("n = 2").select("bucket", "n", F.explode(F.array("low", "high")).alias("doc"))
-    larger = banded.join(buckets.where("n > 2").select("bucket", "n"), "bucket").select("bucket", "n", "doc")
+    large = buckets.where("n > 2").select("bucket", "n")
+    if large.count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)  # the bands needn't be dealt a second time
+    larger = banded.join(large, "bucket").select("bucket", "n", "doc")
     sketch = reps.groupBy("doc").agg(F.min("bits").alias("bits"))  # a doc_id with two texts stands here once
     members = pairs_of_two.union(larger).distinct().join(sketch, "doc")
     members = members.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "doc", "bits")
