@@ -78,6 +78,7 @@ class Codes:
 _DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 #: By distance and byte: the bytes within that distance.
 _NEAR = [[np.flatnonzero(_DISTANCE[b] <= s).tolist() for b in range(256)] for s in range(9)]
+_WITHIN = np.array([_DISTANCE <= s for s in range(9)])
 
 
 class MultiIndex:
@@ -87,25 +88,27 @@ class MultiIndex:
         self.codes, self.tables = codes, []
         for j in range(codes.shape[1]):
             order = np.argsort(codes[:, j], kind="stable")
-            self.tables.append((order, np.searchsorted(codes[order, j], np.arange(257)).tolist()))
+            at = np.searchsorted(codes[order, j], np.arange(257))
+            self.tables.append((order, at.tolist(), np.diff(at)))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code differs from ``code`` in at most ``radius`` bits, in order."""
         m = len(self.tables)
         s, a = divmod(min(radius, 8 * m), m)
-        parts = []
-        for j, (order, at) in enumerate(self.tables):
-            most = min(8, s if j <= a else s - 1)
-            if most >= 0:
-                parts += [order[at[b] : at[b + 1]] for b in _NEAR[most][code[j]]]
         mark = np.zeros(len(self.codes), bool)
-        mark[np.concatenate(parts)] = True
+        for j, (order, at, sizes) in enumerate(self.tables):
+            most = min(8, s if j <= a else s - 1)
+            if most > 1:  # many buckets: all their rows at once
+                mark[order[np.repeat(_WITHIN[most, code[j]], sizes)]] = True
+            elif most >= 0:
+                for b in _NEAR[most][code[j]]:
+                    mark[order[at[b] : at[b + 1]]] = True
         found = np.flatnonzero(mark)
         return found[np.bitwise_count(self.codes[found] ^ code).sum(axis=1, dtype=int) <= radius]
 
 
 def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products summed in coordinate order, so equal vectors have equal scores."""
+    """Inner products of rows with q, summed in coordinate order, so equal vectors have equal scores."""
     out = np.zeros(len(x))
     for j in range(x.shape[1]):
         out += x[:, j] * q[j]
@@ -133,10 +136,14 @@ def _kernel(index: pa.Table, probes: pa.Table, models, k: int) -> pa.Table:
         x, q = matrix(index["v"], index.num_rows), matrix(probes["v"], probes.num_rows)
         model = models.value[x.shape[1]]
         ids, table, codes = index["ids"].to_pylist(), MultiIndex(model.of(x)), model.of(q, True)
+        scale = np.sqrt((x * x).sum(axis=1).max() * (q * q).sum(axis=1).max())
         for i, (h1, h2) in enumerate(zip(probes["h1"].to_pylist(), probes["h2"].to_pylist(), strict=True)):
             radius, least = model.radius, min(k + 1, len(x))
             while len(rows := table.within(codes[i], radius)) < least:
                 radius += codes.shape[1]
+            rough = x[rows] @ q[i]
+            if len(rows) > 4 * k:  # all that can be among the best, rounding of the rough sums allowed for
+                rows = rows[rough >= np.partition(rough, len(rough) - k - 1)[-k - 1] - 1e-9 * scale]
             for found, score in best_ids(rows, exact_scores(x[rows], q[i]), ids, k + 1):
                 for column, value in zip(out, (h1, h2, found, score), strict=True):
                     column.append(value)
