@@ -2,8 +2,8 @@
 
 A vector's nonzero integer components are its terms (dimension, weight). Each block inverts its rows into postings with
 the largest and smallest weight per dimension, which bound what a query's term can add to a score. Per query, a first
-threshold comes from fully scoring the strongest postings of its strongest term; then its terms, by ascending bound, are
-split: rows that meet only non-essential terms, whose bounds sum to less than the threshold, can't enter. Postings of the
+threshold comes from fully scoring the strongest postings of its strongest term, and a second from the rows that lead once
+the essential terms are summed; its terms, by ascending bound, are split: rows that meet only non-essential terms, whose bounds sum to less than the threshold, can't enter. Postings of the
 essential terms are traversed; the rows found are probed for the other terms from the largest bound down, while their
 score and the bounds left stay competitive. Blocks return their k + 1 best and are merged.
 
@@ -37,6 +37,7 @@ class Postings:
         self.values = [c[at] for c, at in zip(self.columns, self.lists, strict=True)]
         self.high = [max(v.max(), 0) if len(v) else 0 for v in self.values]
         self.low = [min(v.min(), 0) if len(v) else 0 for v in self.values]
+        self.everywhere = [len(at) == self.n for at in self.lists]
         self.by_value: dict[int, np.ndarray] = {}
 
     def strongest(self, j: int, positive: bool, k: int) -> np.ndarray:
@@ -63,12 +64,18 @@ class Postings:
         if split:
             met = np.zeros(self.n, bool)
             for j in terms[split:]:
-                sums[self.lists[j]] += q[j] * self.values[j]
-                met[self.lists[j]] = True
+                self._traverse(j, q[j], sums)
+                if not self.everywhere[j]:
+                    met[self.lists[j]] = True
+                elif not met.all():
+                    met[:] = True
+            # the rows with the best sums so far, scored in full, raise the threshold
+            lead = np.argpartition(sums, self.n - 2 * k)[-2 * k :] if sums.dtype != object else np.argsort(sums)[-2 * k :]
+            threshold = max(threshold, np.sort(self._full(lead, q, terms))[-k])
             rows = np.flatnonzero(met & (sums + rest >= threshold))
         else:  # even a row without any term is competitive
             for j in terms:
-                sums[self.lists[j]] += q[j] * self.values[j]
+                self._traverse(j, q[j], sums)
             rows = np.flatnonzero(sums >= threshold)
         scores = sums[rows]
         for i in range(split - 1, -1, -1):
@@ -81,6 +88,13 @@ class Postings:
                 rows, scores = rows[keep], scores[keep]
         return rows, scores
 
+    def _traverse(self, j: int, weight, sums: np.ndarray) -> None:
+        """Adds a posting list to the sums; one that holds most rows is added as a column, absent rows as zeros."""
+        if 2 * len(self.lists[j]) > self.n:
+            sums += weight * self.columns[j]
+        else:
+            sums[self.lists[j]] += weight * self.values[j]
+
     def _full(self, rows: np.ndarray, q: np.ndarray, terms: list[int]) -> np.ndarray:
         out = np.zeros(len(rows), self.columns.dtype)
         for j in terms:
