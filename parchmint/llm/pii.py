@@ -72,45 +72,65 @@ DETECTORS = (
 BASE_KINDS = ("email", "ip", "card", "phone")
 
 
-def _starts(gaps: Column, lengths: Column) -> Column:
-    """Where each match begins, from the lengths of the texts before each match and of the matches.
+_SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
 
-    Sums run over blocks of ``_BLOCK`` matches, so a text with very many matches costs far less than their square.
-    """
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    steps = F.zip_with(gaps, lengths, lambda g, m: g + m)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int")), lambda i: F.slice(steps, i * _BLOCK + 1, F.lit(_BLOCK)))
-    inner = lambda b, base: F.transform(b, lambda x, j: base + total(F.slice(b, F.lit(1), j)))
-    before = F.flatten(F.transform(blocks, lambda b, i: inner(b, total(F.flatten(F.slice(blocks, F.lit(1), i))))))
-    return F.zip_with(before, gaps, lambda b, g: b + g)
-
-
-def _spans(text: Column, found: Column, d: Detector) -> Column:
-    gaps = F.transform(F.slice(F.split(text, d.propose, -1), 1, F.size(found)), F.length)
-    starts = _starts(gaps, F.transform(found, F.length))
-    near = lambda s, m: F.lower(F.substring(text, F.greatest(s + 1 - WINDOW, F.lit(1)), F.length(m) + 2 * WINDOW))
-    score = lambda s, m: F.lit(d.score) + F.when(near(s, m).rlike(d.context), CONTEXT_GAIN).otherwise(0.0)
-    all_ = F.zip_with(
-        starts, found,
-        lambda s, m: F.struct(F.lit(d.kind).alias("kind"), s.alias("start"), (s + F.length(m)).alias("end"), m.alias("text"), F.least(score(s, m), F.lit(1.0)).alias("score")),
-    )
-    return F.filter(all_, lambda x: d.confirm(x["text"]) & (F.lit(d.always) | (x["score"] >= THRESHOLD)))
 
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
-_SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
+
+def _around(pieces: Column, found: Column, i: Column, w: int = WINDOW) -> Column:
+    """A match with the text before and after it, up to the next match of its kind."""
+    before, after = F.get(pieces, i), F.get(pieces, i + 1)
+    return F.lower(F.concat(F.right(before, F.lit(w)), F.lit(" "), F.get(found, i), F.lit(" "), F.left(after, F.lit(w))))
 
 
 def find_pii(docs: DataFrame, column: str = "text", prefix: str = "pii_") -> DataFrame:
-    """``docs`` with one array of spans per kind (``prefix`` + kind), by start; code points, end exclusive."""
-    text = text_or_empty(F.col(column).cast("string"))
-    out = docs
-    for d in DETECTORS:
+    """``docs`` with one array of spans per kind (``prefix`` + kind), by start; code points, end exclusive.
+
+    Each step is a column of its own, named at least twice by the next one, so that no step is written into a lambda and
+    computed again for every match. Starts add up the lengths of what stands before: within blocks of ``_BLOCK`` matches
+    and over blocks, so a text with very many matches costs far less than their square.
+    """
+    text, none = text_or_empty(F.col(column).cast("string")), F.array().cast("array<string>")
+    name = lambda d, part: f"_{prefix}{d.kind}_{part}"
+    col = lambda d, part: F.col(name(d, part))
+    block = lambda j: F.floor(j / _BLOCK).cast("int")
+
+    def step(df: DataFrame, part: str, of: Callable[[Detector], Column]) -> DataFrame:
+        return df.withColumns({name(d, part): of(d) for d in DETECTORS})
+
+    def found(d: Detector) -> Column:
         hint = text.contains(d.hint) if d.hint == "@" else text.rlike(d.hint)
-        out = out.withColumn(prefix + d.kind, F.when(hint, F.regexp_extract_all(text, F.lit(d.propose), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    for d in DETECTORS:
-        found = F.col(prefix + d.kind)
-        out = out.withColumn(prefix + d.kind, F.when(F.size(found) > 0, _spans(text, found, d)).otherwise(F.array()).cast(_SPAN))
-    return out
+        return F.when(hint, F.regexp_extract_all(text, F.lit(d.propose), F.lit(0))).otherwise(none)
+
+    def sums(d: Detector) -> Column:
+        s = col(d, "steps")
+        every = F.transform(F.sequence(F.lit(0), block(F.size(s) - 1)), lambda i: _total(F.slice(s, i * _BLOCK + 1, F.lit(_BLOCK))))
+        return F.when(F.size(s) > 0, every).otherwise(F.array().cast("array<int>"))
+
+    def starts(d: Detector) -> Column:
+        s, base = col(d, "steps"), col(d, "bases")
+        inner = lambda j: _total(F.slice(s, block(j) * _BLOCK + 1, (j % _BLOCK).cast("int")))
+        every = F.transform(col(d, "gaps"), lambda g, j: g + F.get(base, block(j)) + inner(j))
+        return F.when((F.size(base) > 0) & (F.size(s) > 0), every).otherwise(F.array().cast("array<int>"))
+
+    def spans(d: Detector) -> Column:
+        m, pieces = col(d, "found"), col(d, "pieces")
+        score = lambda i: F.least(F.lit(d.score) + F.when(_around(pieces, m, i).rlike(d.context), CONTEXT_GAIN).otherwise(0.0), F.lit(1.0))
+        one = lambda s, i: F.struct(F.lit(d.kind).alias("kind"), s.alias("start"), (s + F.length(F.get(m, i))).alias("end"), F.get(m, i).alias("text"), score(i).alias("score"))
+        every = F.transform(col(d, "starts"), one)
+        return F.filter(every, lambda x: d.confirm(x["text"]) & (F.lit(d.always) | (x["score"] >= THRESHOLD))).cast(_SPAN)
+
+    out = step(docs, "found", found)
+    out = step(out, "pieces", lambda d: F.when(F.size(col(d, "found")) > 0, F.split(text, d.propose, -1)).otherwise(none))
+    out = step(out, "gaps", lambda d: F.transform(F.slice(col(d, "pieces"), 1, F.size(col(d, "found"))), F.length))
+    out = step(out, "steps", lambda d: F.zip_with(col(d, "gaps"), col(d, "found"), lambda g, m: g + F.length(m)))
+    out = step(out, "sums", sums)
+    out = step(out, "bases", lambda d: F.transform(col(d, "sums"), lambda _, i: _total(F.slice(col(d, "sums"), F.lit(1), i))))
+    out = step(out, "starts", starts)
+    out = out.withColumns({prefix + d.kind: spans(d) for d in DETECTORS})
+    return out.drop(*(name(d, part) for d in DETECTORS for part in ("found", "pieces", "gaps", "steps", "sums", "bases", "starts")))
 
 
 def listed(spans: Column) -> Column:
