@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.shared import stored
+from parchmint.llm.shared import hold_cache, stored
 
 SLOTS, ROWS = 256, 6
 BANDS = SLOTS // ROWS
@@ -44,7 +44,7 @@ BLOCK_SHINGLES = 1_000_000
 BROADCAST_ROWS = 200_000
 #: Edges per file of an edge list.
 EDGE_ROWS = 250_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 _CHUNK = 1 << 16
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
@@ -75,6 +75,7 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     if not w:
         return np.empty(0, _U)
     known = _WORDS
+    hold_cache("words", _WORDS.clear)
     if len(known) > CACHE_WORDS:
         known.clear()
     try:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
+#: The kernel whose cache this Python worker holds, and how to empty it.
+_HELD: list = [None, None]
+
+
+def hold_cache(owner: str, clear: Callable[[], None]) -> None:
+    """A worker outlives its stage; the cache of one kernel goes when another kernel begins, so caches don't add up."""
+    if _HELD[0] != owner:
+        if _HELD[1] is not None:
+            _HELD[1]()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # give freed memory back where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+        _HELD[:] = [owner, clear]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,6 +15,8 @@ import json
 import os
 import re
 
+from parchmint.llm.shared import hold_cache
+
 #: Chunks kept per worker before the cache starts anew; bounds its memory (some 150 bytes each) and changes no result.
 CACHE_CHUNKS = 700_000
 #: Longer chunks are encoded but not kept.
@@ -133,6 +135,7 @@ _LOADED: dict[str, TextTokenizer] = {}
 
 def tokenizer(path: str) -> TextTokenizer:
     """The tokenizer of ``path``, loaded once per Python worker."""
+    hold_cache("tokens", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = TextTokenizer(path)
     return _LOADED[path]

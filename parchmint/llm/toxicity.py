@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.shared import stored
+from parchmint.llm.shared import hold_cache, stored
 
 #: Labelled texts of each class that the models are fitted on, at most.
 MAX_DOCS = 4000
@@ -218,6 +218,7 @@ def _fold_features(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.Rec
 
 
 def _score(batches: Iterator[pa.RecordBatch], fitted, text: str, own: bool) -> Iterator[pa.RecordBatch]:
+    hold_cache("toxicity", _SCORERS.clear)
     models, weights, constant = fitted.value
     scorer = _SCORERS.get(fitted.id) or Scorer(models, weights) if models else None
     _SCORERS.clear()
