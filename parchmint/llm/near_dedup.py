@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.shared import hold_cache, stored
+from parchmint.llm.shared import hold_cache, sliced, stored
 
 SLOTS, ROWS = 256, 6
 BANDS = SLOTS // ROWS
@@ -161,7 +161,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
         docs, sets, held = [], [], 0
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SKETCH, strict=True)], schema=_SKETCH)
 
-    for batch in batches:
+    for batch in sliced(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             docs.append(doc)
             sets.append(shingle_hashes(text, shingle))

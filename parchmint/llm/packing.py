@@ -108,11 +108,12 @@ class _Packer:
 def _kernel(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, block_windows: int, slack: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    from parchmint.llm.shared import sliced
     from parchmint.llm.tokens import tokenizer
 
     encode = tokenizer(path).encode_one
     packer = _Packer(capacity, block_windows, slack, TaskContext.get().partitionId() << 40)
-    for batch in batches:
+    for batch in sliced(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             packer.add(doc, encode(text, end_id))
             if len(packer.out) >= 4000:
