@@ -142,7 +142,7 @@ def _fill(rows: DataFrame, sources: list[dict], limit: int) -> None:
             continue
         if not any(s["lack"] > 0 for s in sources):
             return
-        begun = F.coalesce(F.element_at("ranges", -1)["high"], F.lit(0.0)) if turn > 1 else F.lit(0.0)
+        begun = F.coalesce(F.get("ranges", F.size("ranges") - 1)["high"], F.lit(0.0)) if turn > 1 else F.lit(0.0)
         open_ = all_.where((F.col("lack") > 0) & (F.col("key") > begun) & (F.col("size") > 0) & (F.col("size") <= F.col("lack")))
         open_ = open_.select("source", "size", "key", "lack", F.floor(F.col("key") * F.col("bins")).cast("int").alias("bin"))
         in_order = Window.partitionBy("source").orderBy("bin")
