@@ -17,6 +17,9 @@ def normalized(c: Column) -> Column:
     return F.regexp_replace(t, r"[.,;:!?]+$", "")
 
 
+_PROBE = 8  # characters of a key that choose its pages; three digits of a number would meet a share of all pages
+
+
 def _grams(c: Column, size: Column) -> Column:
     """The distinct pieces of ``size`` characters of a text."""
     n = F.length(c) - size + 1
@@ -28,14 +31,14 @@ def link_rows(keys: DataFrame, pages: DataFrame) -> DataFrame:
     document's best page; the first document and page win ties; rows without a hit are left out.
 
     ``keys``: row, ord, key; ``pages``: doc, page, text. A key is found wherever its normalised text is a part of the
-    page's. Instead of comparing all keys with all pages, each key meets the pages that have its rarest three letters
+    page's. Instead of comparing all keys with all pages, each key meets the pages that have its rarest eight characters
     (all of a shorter key), an equi-join, and is then looked for there.
     """
     k = keys.select("row", "ord", normalized(F.col("key")).alias("key")).where("key <> ''")
     p = pages.select("doc", "page", normalized(F.col("text")).alias("text"))
-    own = k.select("key").distinct().withColumn("gram", F.explode(_grams(F.col("key"), F.least(F.length("key"), F.lit(3)))))
-    sizes = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("size")
-    short = F.broadcast(k.select(F.least(F.length("key"), F.lit(3)).alias("size")).distinct())  # three rows at most
+    own = k.select("key").distinct().withColumn("gram", F.explode(_grams(F.col("key"), F.least(F.length("key"), F.lit(_PROBE)))))
+    sizes = F.explode(F.sequence(F.lit(1), F.lit(_PROBE))).alias("size")
+    short = F.broadcast(k.select(F.least(F.length("key"), F.lit(_PROBE)).alias("size")).distinct())  # _PROBE rows at most
     index = p.select("doc", "page", "text", sizes).join(short, "size").select("doc", "page", F.explode(_grams(F.col("text"), F.col("size"))).alias("gram"))
     common = own.select("gram").distinct().join(index, "gram").groupBy("gram").agg(F.count("*").alias("n"))
     probe = own.join(common, "gram").groupBy("key").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
