@@ -192,9 +192,11 @@ SELECT event_id, 'val-' || substr(sha256('val|' || (user_id % 40) || '|' || even
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line as a box, a page per eight order numbers; ids count a page's lines."""
     d = lambda c: F.col(c).cast("double")
-    base = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1").select(F.pmod("l_orderkey", F.lit(500)).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), d("l_quantity").alias("q"), d("l_discount").alias("disc"), "l_partkey", "l_suppkey")
-    base = windows.first_wins(base, ["page", "id"], [F.col("l_partkey"), F.col("l_suppkey")])
+    base = table(spark, sf_dir, "lineitem").withColumn("page", F.floor(F.col("l_orderkey") / 8))
+    order = windows.Window.partitionBy("page").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    base = base.select("page", F.row_number().over(order).cast("long").alias("id"), d("l_quantity").alias("q"), d("l_discount").alias("disc"))
     return base.select("page", "id", (F.col("q") / 64).alias("x0"), (F.col("disc") * 5).alias("y0"), (F.col("q") / 64 + 0.2).alias("x1"), (F.col("disc") * 5 + 0.2).alias("y1"), (F.col("q") / 50).alias("confidence"))
 
 

@@ -2,7 +2,8 @@
 
 import duckdb
 
-from parchmint.operators import library
+from parchmint.operators import geometry, library
+from parchmint.plans import layout
 from parchmint.plans import library as library_plans
 
 SMALL = "/root/testdata/sf0.001"
@@ -28,3 +29,27 @@ def test_links_of_keys_about_the_probe_length(spark):
     keys = spark.createDataFrame([(n, 0, key) for n, key in enumerate([*cut, "abcdefghj", "h-fghij", "gh-fghij"])], "row int, ord int, key string")
     got = {r["row"]: r["doc"] for r in library.link_rows(keys, pages).collect()}
     assert got == {n: 1 for n in range(len(cut))} | {len(cut) + 1: 2, len(cut) + 2: 2}
+
+
+def _pages_of_boxes():
+    """Boxes of all order lines by page, built apart from the query."""
+    rows = _sql("SELECT l_orderkey // 8, row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount), l_quantity, l_discount FROM lineitem", "lineitem")
+    pages = {}
+    for page, i, q, disc in rows:
+        pages.setdefault(page, []).append({"page": page, "id": i, "x0": q / 64, "y0": disc * 5, "x1": q / 64 + 0.2, "y1": disc * 5 + 0.2, "confidence": q / 50})
+    return pages
+
+
+def test_boxes_of_all_order_lines(spark):
+    pages = _pages_of_boxes()
+    assert sum(map(len, pages.values())) == 6000 and max(map(len, pages.values())) < 100
+    pairs = lambda df, *names: sorted(tuple(r[n] for n in names) for r in df.collect())
+    every = sorted((p, r["id"]) for p, g in pages.items() for r in g)
+    assert pairs(layout.value_clusters(spark, SMALL), "page", "id") == every
+    assert pairs(layout.crossing_rules(spark, SMALL), "page", "id", "component") == sorted((p, c["id"], c["component"]) for p, g in pages.items() for c in geometry.rule_groups(g))
+    assert pairs(layout.suppressed_boxes(spark, SMALL), "page", "id") == sorted((p, r["id"]) for p, g in pages.items() for r in geometry.suppress(g))
+    texts = lambda g, n: [r | {"text": f"line {n}"} for r in g if r["id"] % 4 == n]
+    assert pairs(layout.coincident_lines(spark, SMALL), "page", "id") == sorted((p, r["id"]) for p, g in pages.items() for n in range(4) for r in geometry.first_copies(texts(g, n)))
+    moved = lambda g: [r | {"side": "predicted"} | {c: r[c] + 0.01 for c in ("x0", "y0", "x1", "y1")} for r in g]
+    matches = [m for g in pages.values() for m in geometry.one_to_one([r | {"side": "expected"} for r in g] + moved(g), 0.5)]
+    assert pairs(layout.matched_boxes(spark, SMALL), "page", "expected", "predicted") == sorted((m["page"], m["expected"], m["predicted"]) for m in matches)
