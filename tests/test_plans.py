@@ -1,9 +1,11 @@
 """Registered queries over whole tables, against SQL or a plain fold of all rows."""
 
+from decimal import Decimal
+
 import duckdb
 
 from parchmint.operators import geometry, library
-from parchmint.plans import layout
+from parchmint.plans import layout, statements
 from parchmint.plans import library as library_plans
 
 SMALL = "/root/testdata/sf0.001"
@@ -53,3 +55,38 @@ def test_boxes_of_all_order_lines(spark):
     moved = lambda g: [r | {"side": "predicted"} | {c: r[c] + 0.01 for c in ("x0", "y0", "x1", "y1")} for r in g]
     matches = [m for g in pages.values() for m in geometry.one_to_one([r | {"side": "expected"} for r in g] + moved(g), 0.5)]
     assert pairs(layout.matched_boxes(spark, SMALL), "page", "expected", "predicted") == sorted((m["page"], m["expected"], m["predicted"]) for m in matches)
+
+
+def _orders():
+    """(quantity, price) of all lines of each order, in the queries' order."""
+    orders = {}
+    for block, q, p in _sql("SELECT l_orderkey, l_quantity::DECIMAL(18,2), l_extendedprice::DECIMAL(18,2) FROM lineitem ORDER BY 1, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity", "lineitem"):
+        orders.setdefault(block, []).append((q, p))
+    return orders
+
+
+def test_sections_of_all_lines(spark):
+    """A subtotal needs three lines; the grand total is proved by two proved subtotals only."""
+    want = []
+    for block, lines in _orders().items():
+        n, first = len(lines), (len(lines) + 1) // 2
+        second, wrong = n - first, block % 3 == 0
+        want.append((block, first + 1, *(("unresolved", 0) if first < 3 else ("break" if wrong else "confirmed", first))))
+        want.append((block, n + 2, *(("unresolved", 0) if second < 3 else ("confirmed", second))))
+        want.append((block, n + 3, *(("confirmed", 2) if second >= 3 and not wrong and block % 5 else ("unresolved", 0))))
+    assert sorted(tuple(r) for r in statements.nested_footing(spark, SMALL).collect()) == sorted(want)
+    assert {len(lines) for lines in _orders().values()} >= set(range(1, 9))
+
+
+def test_witnesses_of_all_ties(spark):
+    want = []
+    for block, lines in _orders().items():
+        columns = [[q for q, _ in lines], [p for _, p in lines], [2 * q for q, _ in lines]]
+        columns = [c + [sum(c, Decimal(0))] for c in columns]
+        for total in range(2, len(lines) + 1):
+            for top in range(total - 1):
+                shapes = {tuple(round(float(v) / float(c[top]), 9) for v in c[top:total]) for c in columns if sum(c[top:total]) == c[total]}
+                if len(shapes) >= 2:
+                    want.append((block, total + 1, top + 1, len(shapes)))
+    assert sorted(tuple(r) for r in statements.parallel_columns(spark, SMALL).collect()) == sorted(want)
+    assert {total - 1 for _, total, top, _ in want if top == 1} >= set(range(2, 9))
