@@ -78,7 +78,7 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as points on fifty pages, by quantity and discount, in a grid of ten columns and four rows."""
     pages = spark.range(50).withColumnRenamed("id", "page")
     band = lambda n, size: pages.select("page", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx")).withColumn("lo", F.col("idx") * size).withColumn("hi", (F.col("idx") + 1) * size)
-    points = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.pmod("l_orderkey", F.lit(50)).alias("page"), F.col("l_quantity").cast("double").alias("x"), F.round(F.col("l_discount") * 100).cast("double").alias("y"), F.col("l_orderkey").alias("value"))
+    points = table(spark, sf_dir, "lineitem").select(F.pmod("l_orderkey", F.lit(50)).alias("page"), F.col("l_quantity").cast("double").alias("x"), F.round(F.col("l_discount") * 100).cast("double").alias("y"), F.col("l_orderkey").alias("value"))
     out = geometry.cells_of_points(points, band(10, 5.0), band(4, 3.0))
     return out.select("page", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "n", "value")
 
@@ -125,10 +125,10 @@ SELECT page, CAST(c * 100 + hi + 1 AS BIGINT) AS first, CAST(c * 100 + lo AS BIG
 
 def turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lambda c: F.col(c).cast("double")
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select("l_orderkey", "l_partkey", "l_suppkey", (d("l_quantity") / 128).alias("x"), d("l_tax").alias("y"), (d("l_discount") + 0.125).alias("w"), F.lit(0.25).alias("h"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (d("l_quantity") / 128).alias("x"), d("l_tax").alias("y"), (d("l_discount") + 0.125).alias("w"), F.lit(0.25).alias("h"))
     box = scalars.rotated(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("l_orderkey").cast("int"))
-    b = rows.select("l_orderkey", "l_partkey", "l_suppkey", box.alias("b"))
-    return b.select("l_orderkey", "l_partkey", "l_suppkey", *(F.round("b." + n, 9).alias(n) for n in "xywh"))
+    b = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", box.alias("b"))
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(F.round("b." + n, 9).alias(n) for n in "xywh"))
 
 
 TURNED_BOXES = """

@@ -90,3 +90,26 @@ def test_witnesses_of_all_ties(spark):
                     want.append((block, total + 1, top + 1, len(shapes)))
     assert sorted(tuple(r) for r in statements.parallel_columns(spark, SMALL).collect()) == sorted(want)
     assert {total - 1 for _, total, top, _ in want if top == 1} >= set(range(2, 9))
+
+
+def test_cells_of_all_points(spark):
+    cells = {}
+    for page, x, y, key in _sql("SELECT l_orderkey % 50, l_quantity, round(l_discount * 100), l_orderkey FROM lineitem", "lineitem"):
+        if x < 50 and y < 12:
+            cells.setdefault((page, int(y // 3), int(x // 5)), []).append(key)
+    got = [tuple(r) for r in layout.grid_cells(spark, SMALL).collect()]
+    assert sorted(got) == sorted((*at, len(keys), keys[0] if len(keys) == 1 else None) for at, keys in cells.items())
+    assert sum(r[3] for r in got) > 5000
+
+
+def test_all_boxes_are_turned(spark):
+    want = []
+    for order, line, part, supplier, q, disc, y in _sql("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax FROM lineitem", "lineitem"):
+        x, w, h = q / 128, disc + 0.125, 0.25
+        for _ in range(order % 4):
+            x, y, w, h = 1 - y - h, x, h, w
+        want.append((order, line, part, supplier, x, y, w, h))
+    got = sorted(tuple(r) for r in layout.turned_boxes(spark, SMALL).collect())
+    assert len(got) == 6000
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:4] == w[:4] and max(abs(a - b) for a, b in zip(g[4:], w[4:], strict=True)) < 1e-8
