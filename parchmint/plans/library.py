@@ -230,7 +230,7 @@ SELECT row, format, min(col) AS first, max(col) AS last FROM r GROUP BY row, for
 
 
 def streamed_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures of the lines of a stream of documents, gathered per window of event time: the same reader as in batch."""
+    """Figures of the lines of a stream of documents, counted by source and kind: the same reader as in batch."""
     return stream.figures_by_source(spark, sf_dir)
 
 

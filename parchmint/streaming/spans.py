@@ -1,4 +1,4 @@
-"""The figure reader on streams: stateless stages run unchanged on ``readStream``; counts are kept per source."""
+"""The figure reader on streams: stateless stages run unchanged on ``readStream``; counts are kept per source and kind."""
 
 from __future__ import annotations
 
@@ -18,12 +18,12 @@ def figures(documents: DataFrame) -> DataFrame:
 
 
 def figures_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of figures per source, of a stream that reads the documents once and ends."""
+    """(source, kind, figures) of a stream that reads the documents once and ends. Documents have no time of their own, so
+    the counts are of the whole stream, not of windows."""
     path = f"{sf_dir.rstrip('/')}/documents.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{path}*")
-    lines = stream.select("source", F.explode(F.split("text", "\n")).alias("text")).where(F.col("text").rlike("[0-9]"))
-    counts = lines.groupBy("source").agg(F.count("*").alias("lines"), F.sum(F.regexp_count("text", F.lit("[0-9]+")).cast("long")).alias("digit_runs"))
+    counts = figures(stream).groupBy("source", "kind").agg(F.count("*").alias("figures"))
     name = "figures_" + uuid.uuid4().hex
     query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -1,9 +1,11 @@
 """Registered queries over whole tables, against SQL or a plain fold of all rows."""
 
+from collections import Counter
 from decimal import Decimal
 
 import duckdb
 
+from parchmint.functions import spans
 from parchmint.operators import geometry, library
 from parchmint.plans import layout, statements
 from parchmint.plans import library as library_plans
@@ -113,3 +115,19 @@ def test_all_boxes_are_turned(spark):
     assert len(got) == 6000
     for g, w in zip(got, sorted(want), strict=True):
         assert g[:4] == w[:4] and max(abs(a - b) for a, b in zip(g[4:], w[4:], strict=True)) < 1e-8
+
+
+def test_streamed_figures_are_those_of_the_batch_reader(spark):
+    batch = Counter()
+    for source, text in _sql("SELECT source, text FROM documents", "documents"):
+        for line in (text or "").split("\n"):
+            batch.update((source, s["kind"]) for s in spans.recognize(line))
+    got = library_plans.streamed_figures(spark, SMALL).collect()
+    assert {(r["source"], r["kind"]): r["figures"] for r in got} == batch and batch
+
+
+def test_a_stream_reads_amounts_dates_and_percentages_whole(spark, tmp_path):
+    rows = [("a", "paid 1,234.50 on December 31, 2025\nup 7%"), ("a", None), ("b", "none"), ("b", "see 10-K\n\n$ (1,234)")]
+    spark.createDataFrame(rows, "source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["source"], r["kind"]): r["figures"] for r in library_plans.streamed_figures(spark, str(tmp_path)).collect()}
+    assert got == {("a", "number"): 1, ("a", "date"): 1, ("a", "percent"): 1, ("b", "number"): 1}
