@@ -39,8 +39,6 @@ ORDER = 5
 DISCOUNT = 0.75
 #: Counts of the shared lower order that each class's 5-gram context is given besides its own.
 SHARED_MASS = 4
-#: Letters of a word that are spelled out; longer words are junk, and count as a word all the same.
-LETTERS = 40
 CACHE_WORDS = 500_000
 STRETCHES = (1, 2, 4)
 _WORD = re.compile(r"[^\W_]+")
@@ -65,7 +63,7 @@ class Models:
                 g = s[i : i + ORDER]
                 for k in (0, 1):
                     if c[k]:
-                        top[k][g] += min(c[k], 20)
+                        top[k][g] += c[k]
         self.top = [dict(t) for t in top]
         self.context = [self._contexts(t) for t in self.top]
         # continuation counts of the lower orders: in how many different longer grams of either class a gram ends
@@ -114,7 +112,7 @@ class Models:
 
     def spelling(self, word: str) -> tuple[float, float, int]:
         """log P of the characters of a word in each class, and their number."""
-        s, toxic, ordinary, known = "^" * (ORDER - 1) + word[:LETTERS] + "$", 0.0, 0.0, self.grams
+        s, toxic, ordinary, known = "^" * (ORDER - 1) + word + "$", 0.0, 0.0, self.grams
         n = len(s) - ORDER + 1
         for i in range(n):
             g = s[i : i + ORDER]
@@ -198,7 +196,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             for w in set(words(text)):
-                held.setdefault(w[:LETTERS], [0, 0, 0, 0])[2 * fold + toxic] += 1
+                held.setdefault(w, [0, 0, 0, 0])[2 * fold + toxic] += 1
         if len(held) > 300_000:
             yield drain()
     if held:
@@ -291,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Toxicit
     if len(classes) < 2:
         return ToxicityModel(spark, None, None, 0.5 if share is None else float(share))
     counted = taught.mapInArrow(_count_words, "word string, ordinary0 long, toxic0 long, ordinary1 long, toxic1 long")
-    counted = counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in _CELLS)).where("ordinary0 + toxic0 + ordinary1 + toxic1 > 1").orderBy("word")
+    counted = counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in _CELLS)).orderBy("word")
     t = counted.toArrow()
     names, cells = t.column("word").to_pylist(), [t.column(c).to_pylist() for c in _CELLS]
     per_fold = [{w: (o, x) for w, o, x in zip(names, cells[2 * f], cells[2 * f + 1], strict=True) if o + x} for f in (0, 1)]
