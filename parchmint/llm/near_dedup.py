@@ -257,15 +257,15 @@ def _in_blocks(members: DataFrame, key: str, more: tuple[str, ...] = ()) -> Data
 
 
 def _only(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Rows (..., doc, k1, k2, text) whose text has that set, once per partition."""
+    """Rows (..., doc, k1, k2, text) whose text has that set, once per doc, set and partition."""
     seen = set()
     for batch in batches:
         doc, k1, k2, text = (batch.column(batch.num_columns - i).to_pylist() for i in (4, 3, 2, 1))
         ok = []
         for d, x, y, t in zip(doc, k1, k2, text, strict=True):
-            ok.append(d not in seen and set_key(shingle_hashes(t, shingle)) == (x, y))
+            ok.append((d, x, y) not in seen and set_key(shingle_hashes(t, shingle)) == (x, y))
             if ok[-1]:
-                seen.add(d)
+                seen.add((d, x, y))
         yield batch.filter(pa.array(ok, pa.bool_()))
 
 
@@ -318,26 +318,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = first.select("k1", "k2", F.col("x.doc_id").alias("doc"), "x.n_shingles", "x.bits", "x.bands")
     reps = stored(reps, "representatives")
 
-    banded = reps.select("doc", F.explode("bands").alias("bucket"))
+    # a doc_id with two texts stands here once with each set
+    rep = F.struct("doc", "k1", "k2").alias("rep")
+    banded = reps.select(rep, F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"),
-        F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("doc", F.lit(5))).alias("x"),
+        F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"),
+        F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(5))).alias("x"),
     ).where("n > 1")
     buckets = stored(buckets.groupBy("n", "low", "high", "s", "x").agg(F.min("bucket").alias("bucket")).drop("s", "x"), "buckets")
-    pairs_of_two = buckets.where("n = 2").select("bucket", "n", F.explode(F.array("low", "high")).alias("doc"))
+    pairs_of_two = buckets.where("n = 2").select("bucket", "n", F.explode(F.array("low", "high")).alias("rep"))
     large = buckets.where("n > 2").select("bucket", "n")
     if large.count() <= BROADCAST_ROWS:
         large = F.broadcast(large)  # the bands needn't be dealt a second time
-    larger = banded.join(large, "bucket").select("bucket", "n", "doc")
-    sketch = reps.groupBy("doc").agg(F.min("bits").alias("bits"))  # a doc_id with two texts stands here once
-    members = pairs_of_two.union(larger).distinct().join(sketch, "doc")
-    members = members.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "doc", "bits")
+    larger = banded.join(large, "bucket").select("bucket", "n", "rep")
+    members = pairs_of_two.union(larger).distinct().join(reps.select(rep, "bits"), "rep")
+    members = members.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("rep.doc").alias("doc"), "bits")
     compared = _in_blocks(members, "bucket").mapInArrow(partial(_compare, shingle=None, percent=0), "a long, b long")
     pairs = stored(compared.distinct(), "pairs")
 
     families = components(spark, pairs).withColumnRenamed("group", "family")
     families = families.union(families.select("family", "family").distinct())
-    groups = components(spark, _links(docs, reps, families, shingle, percent))
+    links = _links(docs, reps, families, shingle, percent)
+    texts = F.struct("k1", "k2")
+    several = stored(named.groupBy("doc_id").agg(F.min(texts).alias("low"), F.max(texts).alias("high")).where("low <> high").select("doc_id"), "several")
+    if several.count():  # one doc_id with two texts joins the classes of both
+        of_both = named.select("doc_id", "k1", "k2").join(several, "doc_id").join(reps.select("k1", "k2", "doc"), ["k1", "k2"])
+        links = stored(links.union(of_both.where("doc_id <> doc").select("doc_id", "doc")), "links")
+    groups = components(spark, links)
 
     of_class = reps.select("k1", "k2", "doc").join(groups, "doc", "left").select("k1", "k2", F.coalesce("group", "doc").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
