@@ -51,30 +51,20 @@ def link_rows(keys: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def search_lines(lines: DataFrame, query: str) -> DataFrame:
-    """(doc, line, at, exact): every hit, overlapping ones too, of a query on one line; exact where it is a whole token."""
-    q = " ".join(query.lower().split())
-    t = F.lower(scalars.collapsed(F.col("text")))
-    rows = lines.select("doc", "line", t.alias("t")).where(F.col("t").contains(q))
-    starts = F.filter(F.sequence(F.lit(1), F.length("t") - len(q) + 1), lambda i: F.substring(F.col("t"), i, F.lit(len(q))) == q)
-    hit = rows.select("doc", "line", "t", F.explode(starts).alias("at"))
-    before, after = F.substring(F.col("t"), F.col("at") - 1, F.lit(1)), F.substring(F.col("t"), F.col("at") + len(q), F.lit(1))
-    edge = lambda c: (c == "") | (c == " ")
-    exact = F.when(F.col("at") == 1, F.lit(True)).otherwise(edge(before)) & edge(after)
-    return hit.select("doc", "line", F.col("at").cast("long").alias("at"), exact.alias("exact"))
+    """(doc, line, at, exact): every hit, overlapping ones too, of a query on one line, white space collapsed; exact where
+    the query is a whole token. Texts are compared in normal form (see ``search``); ``at`` is the printed place, from 1."""
+    from parchmint.operators import search
+
+    rows = lines.select("doc", "line", scalars.collapsed(F.col("text")).alias("text"))
+    hit = search.found(rows, " ".join(query.split()))
+    return hit.select("doc", "line", (F.col("start") + 1).cast("long").alias("at"), "exact")
 
 
 def exact_first(hits: DataFrame, after: int = 0, limit: int | None = None) -> DataFrame:
-    """Hits ranked, exact ones before partial ones, each in reading order; ``after`` and ``limit`` page through them.
+    """Hits ranked, exact ones before partial ones, each in reading order; ``after`` and ``limit`` page through them."""
+    from parchmint.operators import search
 
-    Ranks are counted per document and then offset, so no task sorts all hits.
-    """
-    order = Window.partitionBy("exact", "doc").orderBy("line", "at")
-    own = hits.withColumn("nth", F.row_number().over(order))
-    sizes = own.groupBy("exact", "doc").agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.col("exact").desc(), "doc").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = own.join(starts, ["exact", "doc"]).withColumn("rank", F.col("start") + F.col("nth")).drop("start", "nth")
-    return ranked.where(F.col("rank") > after) if limit is None else ranked.where(F.col("rank").between(after + 1, after + limit))
+    return search.ranked(hits, ["line", "at"], after=after, limit=limit)
 
 
 def upserted(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -158,17 +148,23 @@ def format_blocks(cells: DataFrame) -> DataFrame:
     return runs.groupBy("sheet", "format", "row", "run").agg(F.min("col").alias("from"), F.max("col").alias("to")).drop("run")
 
 
-def descendants(spark: SparkSession, edges: DataFrame, depth: int = 64) -> DataFrame:
-    """(parent, child) of every path in an equation graph, found round by round; a cycle shows as a node under itself."""
-    edges = edges.select("parent", "child").distinct()
-    whole = step = edges
-    for _ in range(depth):
-        step = step.join(edges.select(F.col("parent").alias("child"), F.col("child").alias("next")), "child").select("parent", F.col("next").alias("child")).distinct().join(whole, ["parent", "child"], "left_anti")
-        step = step.checkpoint() if spark.sparkContext.getCheckpointDir() else step
-        if step.isEmpty():
-            break
-        whole = whole.union(step)
-    return whole
+def descendants(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(parent, child) of every path in an equation graph; a cycle shows as a node under itself.
+
+    Each round joins the paths found so far with themselves, so paths double in length and n rounds reach 2^n steps; it ends
+    when a round finds none.
+    """
+    whole = edges.select("parent", "child").distinct()
+    keep = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    n = whole.count()
+    while True:
+        longer = whole.join(whole.select(F.col("parent").alias("child"), F.col("child").alias("next")), "child").select("parent", F.col("next").alias("child"))
+        whole = whole.union(longer).distinct()
+        whole = whole.checkpoint() if keep else whole
+        now = whole.count()
+        if now == n:
+            return whole
+        n = now
 
 
 def committed(revisions: DataFrame, requests: DataFrame) -> DataFrame:

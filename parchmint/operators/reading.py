@@ -8,35 +8,62 @@ from pyspark.sql import functions as F
 from parchmint.functions import scalars, vocab
 from parchmint.operators.windows import islands
 
-_CUES = {kind: r"(?i)\b(?:" + "|".join(cues) + r")\b[^.]{0,30}$" for kind, cues in vocab.REFERENCE_CUES.items()}
-_NUMBER_MARK = r"(?i)(?:\bnos?\.|[#№])\s*$"
-_PHONE = r"\+?[0-9]?[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
-_PERIOD = r"(?i)\b(?:" + "|".join(vocab.PERIOD_CUES) + r")\s*$"
-_CITATION = r"(?i)\b(?:" + "|".join(vocab.CITATION_CUES) + r")s?\s*$"
+def _cue(words: str, reach: int) -> str:
+    """One of the words, and nothing but the rest of its sentence up to the figure."""
+    return rf"(?i)\b(?:{words})\b[^.]{{0,{reach}}}$"
+
+
+#: A phone number shows a country code, or an area code in brackets.
+_PHONE = r"\+[0-9]{1,3}[\s.-][0-9][0-9\s.-]{5,}[0-9]|\([0-9]{3}\)\s?[0-9]{3}[\s.-][0-9]{4}"
+
+
+def match_places(text: Column, pattern: str) -> Column:
+    """(start, end) of every match, from 0, end exclusive."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return F.transform(found, lambda m, i: F.struct(
+        (F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, g: a + F.length(g))).alias("start"),
+        (F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(found, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g))).alias("end"),
+    ))
+
+
+def overlaps_any(start: Column, end: Column, places: Column) -> Column:
+    """Whether [start, end) shares a place with one of the ranges."""
+    return F.exists(places, lambda p: (start < p["end"]) & (end > p["start"]))
+
+
+def reference_kind(line: Column, start: Column, end: Column) -> Column:
+    """What a token that is no value identifies: a phone number around it, what the nearest kind of cue before it says, or
+    just an identifier."""
+    before, kind = F.substring(line, F.lit(1), start), F.lit("identifier")
+    for name, words in reversed(vocab.REFERENCE_CUES.items()):
+        kind = F.when(before.rlike(_cue(words, vocab.REFERENCE_REACH)), name).otherwise(kind)
+    return F.when(overlaps_any(start, end, match_places(line, _PHONE)), "phone").otherwise(kind)
 
 
 def classified(spans: DataFrame) -> DataFrame:
     """Adds category and reason to spans by the first rule that holds: page furniture, a phone number, a cue before it,
-    raised type, a year cited, a bare integer in prose; else a value.
+    raised type, a year cited, a bare figure in prose; else a value.
 
     ``spans``: line (text), start, end (code points), kind, text, date_precision, furniture (boolean), height and page_height
-    (null: unknown), isolated (boolean).
+    (null: unknown), isolated (boolean); and where known currency, magnitude, magnitude_below (the next line opens with
+    one), each of which speaks for a figure.
     """
-    before = F.substring(F.col("line"), F.lit(1), F.col("start"))
+    line, start, end = F.col("line"), F.col("start"), F.col("end")
+    before = F.substring(line, F.lit(1), start)
     cue = F.lit(None).cast("string")
-    for kind, pattern in reversed(_CUES.items()):
-        cue = F.when(before.rlike(pattern), kind).otherwise(cue)
-    cue = F.when(cue.isNull() & before.rlike(_NUMBER_MARK), "identifier").otherwise(cue)
-    # a phone number around the span: found in the line, and the span lies within the first one
-    phone_at = F.regexp_instr("line", F.lit(_PHONE))
-    phone_end = phone_at + F.length(F.regexp_substr("line", F.lit(_PHONE)))
-    in_phone = (phone_at > 0) & (F.col("start") + 1 >= phone_at) & (F.col("end") + 1 <= phone_end)
+    for kind, words in reversed(vocab.REFERENCE_CUES.items()):
+        cue = F.when(before.rlike(_cue(words, vocab.REFERENCE_REACH)), kind).otherwise(cue)
+    cue = F.when(cue.isNull() & before.rlike(rf"(?i)(?:\b(?:{vocab.NUMBER_MARK}))\s*$|[#№]\s*$"), "identifier").otherwise(cue)
     raised = F.col("height") < vocab.SUPERSCRIPT_RATIO * F.col("page_height")
-    year = (F.col("date_precision") == "year") & before.rlike(_CITATION)
-    words = F.size(F.regexp_extract_all("line", F.lit("[A-Za-z]{2,}"), F.lit(0)))
-    bare = (F.col("kind") == "number") & F.col("text").rlike("^[0-9]+$") & ~F.col("isolated") & (words >= vocab.PROSE_WORDS) & ~before.rlike(_PERIOD)
+    year = (F.col("date_precision") == "year") & before.rlike(_cue(vocab.CITATION_CUES, vocab.CITATION_REACH))
+    words = F.size(F.regexp_extract_all(line, F.lit(r"\p{L}{2,}"), F.lit(0)))
+    marked = F.col("text").rlike(r"[,%]|\.[0-9]")
+    for name, says in (("currency", lambda c: c.isNotNull()), ("magnitude", lambda c: c.isNotNull()), ("magnitude_below", lambda c: F.coalesce(c, F.lit(False)))):
+        if name in spans.columns:
+            marked = marked | says(F.col(name))
+    bare = (F.col("kind") == "number") & ~marked & ~F.col("isolated") & (words >= vocab.PROSE_WORDS) & ~before.rlike(_cue(vocab.PERIOD_CUES, vocab.PERIOD_REACH))
     reason = (
-        F.when(F.col("furniture"), "page-furniture").when(in_phone, "phone").when(cue.isNotNull(), cue)
+        F.when(F.col("furniture"), "page-furniture").when(overlaps_any(start, end, match_places(line, _PHONE)), "phone").when(cue.isNotNull(), cue)
         .when(F.coalesce(raised, F.lit(False)), "superscript").when(F.coalesce(year, F.lit(False)), "citation-year").when(bare, "unsupported")
     )
     category = F.when(reason.isNull(), "value").when(reason.isin("page-furniture", "superscript", "citation-year", "unsupported"), "noise").otherwise("reference")

@@ -24,21 +24,23 @@ def suffix_reversal(cells: Column, total: Column) -> Column:
 
 
 def double_counts(cells: Column) -> Column:
-    """Whether a member from the third on is the sum of all before it."""
+    """Whether a figure from the third on, not zero, is the sum of all before it: a subtotal beside its own members."""
     at = F.when(F.size(cells) >= 3, F.sequence(F.lit(3), F.size(cells))).otherwise(F.array().cast("array<int>"))
-    return F.exists(at, lambda i: F.element_at(cells, i) == scalars.exact_sum(F.slice(cells, F.lit(1), i - 1), MONEY))
+    return F.exists(at, lambda i: (F.element_at(cells, i) != 0) & (F.element_at(cells, i) == scalars.exact_sum(F.slice(cells, F.lit(1), i - 1), MONEY)))
 
 
 def cancels(cells: Column) -> Column:
+    """Whether a figure and its opposite stand in one run."""
     return F.exists(cells, lambda x: (x != 0) & F.array_contains(cells, -x))
 
 
 def diagnosis(cells: Column, delta: Column) -> Column:
-    """Why a total misses its run: a member's sign, two digits swapped (a miss divisible by 9 units), one wrong digit."""
-    units = F.abs(delta) * 100
-    one_digit = F.regexp_replace(units.cast("decimal(38,0)").cast("string"), "0+$", "").rlike("^[1-9]$")
+    """Why a total misses its run: a member's sign; two digits swapped (a miss of whole units that nine divides); one glyph
+    misread (a miss of one digit with zeros after it)."""
+    cents = F.abs(delta) * 100
+    one_digit = F.regexp_replace(cents.cast("decimal(38,0)").cast("string"), "0+$", "").rlike("^[1-9]$")
     sign = F.exists(cells, lambda x: x * -2 == delta)
-    return F.when(delta == 0, F.lit(None).cast("string")).when(sign, "sign").when(units % 9 == 0, "transposition").when(one_digit, "digit")
+    return F.when(delta == 0, F.lit(None).cast("string")).when(sign, "sign").when(cents % 900 == 0, "transposition").when(one_digit, "single-glyph")
 
 
 def footed(blocks: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from parchmint.operators import reconcile, windows
 from parchmint.sources.tables import grouped, money, table
 
 # Statement blocks: one per order; every line printed as an amount, and a total with a planted defect by order key:
-# 1 in 7 is nine units of a hundred off (a swap of digits), 1 in 7 has the first line's sign turned, 1 in 7 is 100 off.
+# 1 in 7 is nine units of a hundred off (a swap of digits), 1 in 7 has the first line's sign turned, 1 in 7 is 100 off, 1 in 7 is 4.50 off.
 _PLANT = "pmod(l_orderkey, 7)"
 
 
@@ -23,7 +23,7 @@ def statement_footing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = F.transform("rows", lambda r: r["price"])
     total = reconcile.scalars.exact_sum(F.col("prices"), "decimal(18,2)")
     plant = F.pmod("l_orderkey", F.lit(7))
-    planted = total + F.when(plant == 1, F.lit(900).cast("decimal(18,2)")).when(plant == 2, F.get("prices", F.lit(0)) * -2).when(plant == 3, F.lit(100).cast("decimal(18,2)")).otherwise(0)
+    planted = total + F.when(plant == 1, F.lit(900).cast("decimal(18,2)")).when(plant == 2, F.get("prices", F.lit(0)) * -2).when(plant == 3, F.lit(100).cast("decimal(18,2)")).when(plant == 4, F.lit("4.50").cast("decimal(18,2)")).otherwise(0)
     shown = lambda c: F.when(c < 0, F.concat(F.lit("("), grouped(c), F.lit(")"))).otherwise(F.concat(F.lit("$"), grouped(c)))
     blocks = _blocks(spark, sf_dir).withColumn("prices", prices).withColumn("total", planted.cast("decimal(18,2)"))
     page = blocks.select("l_orderkey", F.array_join(F.concat(F.transform("prices", shown), F.array(shown(F.col("total")))), " | ").alias("text"))
@@ -41,7 +41,7 @@ WITH l AS (
   SELECT l_orderkey k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) i,
          CAST(l_extendedprice AS DECIMAL(18,2)) p FROM lineitem),
 b AS (SELECT k, count(*) n, sum(p) s, max(CASE WHEN i = 1 THEN p END) p1 FROM l GROUP BY k),
-t AS (SELECT *, s + CASE k % 7 WHEN 1 THEN 900 WHEN 2 THEN -2 * p1 WHEN 3 THEN 100 ELSE 0 END AS total FROM b),
+t AS (SELECT *, s + CASE k % 7 WHEN 1 THEN 900 WHEN 2 THEN -2 * p1 WHEN 3 THEN 100 WHEN 4 THEN 4.50 ELSE 0 END AS total FROM b),
 d AS (SELECT *, total - s AS delta FROM t),
 suf AS (SELECT l.k, l.i, sum(p) OVER (PARTITION BY l.k ORDER BY i DESC) tail FROM l),
 rev AS (SELECT d.k, min(d.n - suf.i + 1) r FROM d JOIN suf ON suf.k = d.k WHERE suf.i > 1 AND suf.tail * 2 = d.s - d.total GROUP BY d.k),
@@ -53,8 +53,8 @@ o AS (SELECT d.*, CASE WHEN delta = 0 THEN 0 ELSE r END r, sg.hit,
       FROM d LEFT JOIN rev ON rev.k = d.k LEFT JOIN sg ON sg.k = d.k),
 p AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'unresolved' WHEN r IS NOT NULL THEN 'confirmed' ELSE 'break' END AS outcome FROM o)
 SELECT k AS l_orderkey, n AS members, CAST(s AS DOUBLE) AS run_sum, CAST(total AS DOUBLE) AS printed, CAST(delta AS DOUBLE) AS delta, outcome, reason,
-  CASE WHEN outcome <> 'break' THEN NULL WHEN hit THEN 'sign' WHEN CAST(abs(delta) * 100 AS BIGINT) % 9 = 0 THEN 'transposition'
-       WHEN length(rtrim(CAST(CAST(abs(delta) * 100 AS BIGINT) AS VARCHAR), '0')) = 1 THEN 'digit' END AS diagnosis,
+  CASE WHEN outcome <> 'break' THEN NULL WHEN hit THEN 'sign' WHEN CAST(abs(delta) * 100 AS BIGINT) % 900 = 0 THEN 'transposition'
+       WHEN length(rtrim(CAST(CAST(abs(delta) * 100 AS BIGINT) AS VARCHAR), '0')) = 1 THEN 'single-glyph' END AS diagnosis,
   CAST(coalesce(r, -1) AS BIGINT) AS reversed
 FROM p
 """
@@ -110,7 +110,7 @@ SELECT o_orderkey, CAST(1 AS BIGINT) AS n,
        WHEN s = 5 THEN strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate) ELSE strftime(o_orderdate, '%Y') END AS normalized,
   CASE WHEN s <= 3 THEN 'day' WHEN s = 4 THEN 'month' WHEN s = 5 THEN 'quarter' ELSE 'year' END AS date_precision,
   CASE WHEN s = 3 AND amb THEN 'ambiguous' END AS date_order
-FROM (SELECT *, o_orderkey % 7 AS s, day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) AS amb FROM orders)
+FROM (SELECT *, o_orderkey % 7 AS s, day(o_orderdate) <= 12 AS amb FROM orders)
 """
 
 
@@ -120,7 +120,7 @@ def page_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = ("USD", "EUR", "GBP", "JPY")
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("doc"), F.col("c_nationkey").alias("page"),
         F.concat(F.element_at(F.array(*map(F.lit, codes)), (F.pmod(F.col("c_custkey") * 7 + F.col("c_nationkey"), F.lit(4)) + 1).cast("int")), F.lit(" "), grouped(money("c_acctbal"))).alias("text"))
-    read = spans.with_spans(rows, "text", ("doc", "page")).select("doc", "page", F.get("spans", F.lit(0))["currency"].alias("currency")).where("currency is not null")
+    read = spans.with_spans(rows, "text", ("doc", "page")).select("doc", "page", F.explode("spans").alias("s")).select("doc", "page", "s.currency").where("currency is not null")
     place = F.array_position(F.array(*map(F.lit, codes)), F.col("currency"))
     page = read.groupBy("doc", "page", "currency").agg(F.count("*").alias("n")).groupBy("doc", "page").agg(F.max_by("currency", F.struct("n", -place)).alias("currency"))
     whole = page.groupBy("doc", "currency").agg(F.count("*").alias("n"), F.min("page").alias("first")).groupBy("doc").agg(F.max_by("currency", F.struct("n", -F.col("first"))).alias("doc_currency"))

@@ -84,7 +84,7 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRID_CELLS = """
-WITH p AS (SELECT l_orderkey % 50 AS page, CAST(floor(l_quantity / 5) AS BIGINT) AS col, CAST(floor(round(l_discount * 100) / 3) AS BIGINT) AS row, l_orderkey k FROM lineitem WHERE l_linenumber = 1)
+WITH p AS (SELECT l_orderkey % 50 AS page, CAST(floor(l_quantity / 5) AS BIGINT) AS col, CAST(floor(round(l_discount * 100) / 3) AS BIGINT) AS row, l_orderkey k FROM lineitem)
 SELECT page, row, col, count(*) AS n, CASE WHEN count(*) = 1 THEN min(k) END AS value FROM p WHERE col < 10 AND row < 4 GROUP BY page, row, col
 """
 
@@ -132,11 +132,11 @@ def turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TURNED_BOXES = """
-SELECT l_orderkey, l_partkey, l_suppkey,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   round(CASE t WHEN 0 THEN x WHEN 1 THEN 1 - y - h WHEN 2 THEN 1 - x - w ELSE y END, 9) AS x,
   round(CASE t WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 1 - y - h ELSE 1 - x - w END, 9) AS y,
   round(CASE WHEN t % 2 = 0 THEN w ELSE h END, 9) AS w, round(CASE WHEN t % 2 = 0 THEN h ELSE w END, 9) AS h
-FROM (SELECT *, l_orderkey % 4 AS t, l_quantity / 128 AS x, l_tax AS y, l_discount + 0.125 AS w, 0.25::DOUBLE AS h FROM lineitem WHERE l_linenumber = 2)
+FROM (SELECT *, l_orderkey % 4 AS t, l_quantity / 128 AS x, l_tax AS y, l_discount + 0.125 AS w, 0.25::DOUBLE AS h FROM lineitem)
 """
 
 

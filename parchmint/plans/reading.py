@@ -25,7 +25,7 @@ def classified_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Suite "), n))
     )
     rows = table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))
-    s = spans.with_spans(rows, "line", ("o_orderkey", "line")).select("o_orderkey", "line", F.element_at("spans", -1).alias("s")).where("s is not null")
+    s = spans.with_spans(rows, "line", ("o_orderkey", "line")).select("o_orderkey", "line", F.explode("spans").alias("s"))
     flat = s.select("o_orderkey", "line", *(F.col("s." + c).alias(c) for c in ("start", "end", "kind", "text", "date_precision")))
     flat = flat.withColumn("furniture", F.lit(False)).withColumn("height", F.lit(None).cast("double")).withColumn("page_height", F.lit(None).cast("double")).withColumn("isolated", F.lit(False))
     return reading.classified(flat).select("o_orderkey", "category", "reason")

@@ -24,18 +24,19 @@ def figures_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{path}*")
     counts = figures(stream).groupBy("source", "kind").agg(F.count("*").alias("figures"))
-    name = "figures_" + uuid.uuid4().hex
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    # each batch writes the counts so far beside the others; the last one written holds the whole stream
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/figures-" + uuid.uuid4().hex
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/counts/{number}")
+        last.append(number)
+
+    query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counts.schema).parquet(f"{base}/counts/{max(last)}") if last else spark.createDataFrame([], counts.schema)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
-FIGURES_BY_SOURCE = r"""
-SELECT source, count(*) AS lines, sum(len(regexp_extract_all(t, '[0-9]+')))::BIGINT AS digit_runs
-FROM (SELECT source, unnest(string_split(text, chr(10))) t FROM documents) WHERE regexp_matches(t, '[0-9]') GROUP BY source
-"""

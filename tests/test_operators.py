@@ -25,7 +25,8 @@ def _foot(spark, cells, total):
         (["1", "2", "3"], "60", "unresolved", "no-plausible-run", None),
         (["100", "200", "300"], "600.02", "unresolved", "rounding-indeterminate", None),
         (["100", "200", "300"], "609", "break", None, "transposition"),
-        (["100", "200", "300"], "700", "break", None, "digit"),
+        (["100", "200", "300"], "700", "break", None, "single-glyph"),
+        (["100", "200", "300"], "604.50", "break", None, None),
         (["100", "200", "300"], "400", "break", None, "sign"),
         (["100", "200", "300"], "612.50", "break", None, None),
     ],
