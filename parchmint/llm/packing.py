@@ -23,6 +23,8 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parchmint.llm.shared import narrow_batches
+
 CAPACITY = 2048
 BLOCK_WINDOWS = 64
 #: Ids left free in each window of a full block, which the differencing may use up for unequal sums.
@@ -111,11 +113,11 @@ def _kernel(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
     from parchmint.llm.shared import sliced
     from parchmint.llm.tokens import tokenizer
 
-    encode = tokenizer(path).encode_one
+    encode = tokenizer(path).encode
     packer = _Packer(capacity, block_windows, slack, TaskContext.get().partitionId() << 40)
-    for batch in sliced(batches):
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            packer.add(doc, encode(text, end_id))
+    for batch in sliced(batches, 1):
+        for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), end_id), strict=True):
+            packer.add(doc, ids)
             if len(packer.out) >= 4000:
                 yield packer.drain()
     packer.flush()
@@ -128,5 +130,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capaci
 
     ``sequence_id`` is the partition's number times 2^40 plus a count, so it is unique without any exchange.
     """
+    narrow_batches(docs.sparkSession)
     kernel = partial(_kernel, path=tokenizer_path, end_id=end_id, capacity=capacity, block_windows=block_windows, slack=slack)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(kernel, SCHEMA)

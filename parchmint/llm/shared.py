@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,28 +54,60 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 _HELD: list = [None, None]
 
 
+def free_memory() -> None:
+    """Gives freed memory back to the system, where the libraries can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hold_cache(owner: str, clear: Callable[[], None]) -> None:
     """A worker outlives its stage; the cache of one kernel goes when another kernel begins, so caches don't add up."""
     if _HELD[0] != owner:
         if _HELD[1] is not None:
             _HELD[1]()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # give freed memory back where the C library can
-                ctypes.CDLL(None).malloc_trim(0)
+            free_memory()
         _HELD[:] = [owner, clear]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller pieces, so few texts at a time stand in memory as Python strings."""
+#: Bytes of rows that Spark hands to a Python kernel at a time, where the session keeps Spark's own default of 64 MB.
+BATCH_BYTES = "4m"
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Long texts come in batches by bytes: both sides of the pipe hold a batch, and in growing buffers up to twice."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        with contextlib.suppress(Exception):  # a Spark without this setting
+            spark.conf.set(name, BATCH_BYTES)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str | int, rows: int = 2000, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and ``size`` bytes of a text column, or one row of more, so that
+    few texts at a time stand in memory as Python strings."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            to = max(at + 1, min(at + rows, full))
+            yield batch.slice(at, to - at)
+            at = to
+    free_memory()  # the worker may wait long for its next task
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it as long as one of ``columns`` is called so (letter case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
