@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmint.llm import mixing, near_dedup, packing, queries, secrets, toxicity
-from parchmint.llm.shared import stored, table
+from parchmint.llm.shared import stored, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs, keep=tuple(docs.columns)).where(F.col("score") < queries.TOXIC).select(*docs.columns)
+    score = unused(docs.columns, "score")
+    return model.score(docs, keep=tuple(docs.columns), name=score).where(F.col(score) < queries.TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
