@@ -11,11 +11,13 @@ of a million cases) and one bit of each value makes a 256-bit sketch.
    in blocks of ``BLOCK`` members, pairs of blocks for larger ones, so no task holds an unbounded bucket. Sketches that
    agree in ``AGREE`` of the bits (similarity 0.6 is expected there; 0.8 falls below in 1 of 10 million) join into
    families: a block gives only pairs that connect, not all of them.
-3. Links are verified on the full sets, family by family, again in bounded blocks and pairs of blocks: every two members
-   whose sketches agree are compared unless they are grouped already, and a block gives only the links that connect.
-   So no link that could join two groups is left out, and no group is expanded into all its pairs.
+3. Links are verified on the full sets, family by family, in bounded blocks: first each block by itself, with the family's
+   smallest document in every one, which links most members of a group of copies at once; then the members not linked to
+   it, in blocks of their own, against every block of the family. Every two members whose sketches agree are compared
+   unless they are grouped already, and a block gives only the links that connect. So no link that could join two groups is
+   left out, no group is expanded into all its pairs, and texts are dealt again only for the members that are left.
 4. Families and links are both grouped by alternating large-star and small-star contraction, the union-find of a
-   distributed edge list.
+   distributed edge list; a list of at most ``CLOSE_EDGES`` edges is closed in one task.
 
 Cases: null and empty texts and texts of white space have an empty set and are linked with nothing; fewer words than a
 shingle are one shingle; repeated rows get equal results; rows with one doc_id and different texts share their links;
@@ -24,15 +26,17 @@ rows with a null doc_id take no part and are kept; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.shared import hold_cache, sliced, stored
+from parchmint.llm.codes import hashed
+from parchmint.llm.shared import narrow_batches, sliced, stored
 
 SLOTS, ROWS = 256, 6
 BANDS = SLOTS // ROWS
@@ -44,10 +48,13 @@ BLOCK_SHINGLES = 1_000_000
 BROADCAST_ROWS = 200_000
 #: Edges per file of an edge list.
 EDGE_ROWS = 250_000
-CACHE_WORDS = 400_000
+#: An edge list of at most so many edges (some 200 MB in that task) is grouped by one task; larger ones by rounds of joins.
+CLOSE_EDGES = 1_000_000
 _CHUNK = 1 << 16
+#: Bytes of text whose words are cut at a time, save one longer word.
+PIECE = 1 << 18
+_SPACE = re.compile(rb"[\x20\t-\r]")
 _U = np.uint64
-_WORDS: dict[bytes, int] = {}
 
 
 def split(text: str | None) -> list[bytes]:
@@ -67,31 +74,70 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's shingles, ascending."""
-    import xxhash
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
 
-    w = split(text)
-    if not w:
-        return np.empty(0, _U)
-    known = _WORDS
-    hold_cache("words", _WORDS.clear)
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    try:
-        ids = [known[x] for x in w]
-    except KeyError:
-        for x in w:
-            if x not in known:
-                known[x] = xxhash.xxh3_64_intdigest(x)
-        ids = [known[x] for x in w]
-    ids = np.array(ids, _U)
-    n = min(shingle, len(ids))
-    h = np.full(len(ids) - n + 1, n, _U)
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of a row of bytes."""
+    codes = _LOWER[np.frombuffer(raw, np.uint8)]
+    edges = np.flatnonzero(np.diff(~_BLANK[codes], prepend=False, append=False))
+    return edges[::2], hashed(codes, edges[::2], edges[1::2])
+
+
+def _long_words(raw: bytes) -> np.ndarray:
+    out, at = [], 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + PIECE)
+        end = cut.start() if cut else len(raw)
+        out.append(_words(raw[at:end])[1])
+        at = end
+    return np.concatenate(out)
+
+
+def _set_of(words: np.ndarray, shingle: int) -> np.ndarray:
+    return np.unique(_shingled(words, min(shingle, len(words)))) if len(words) else np.empty(0, _U)
+
+
+def hashed_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
+    """Per text: distinct 64-bit hashes of its shingles, ascending. Words are cut and hashed in rows of up to ``PIECE`` bytes."""
+    out: list = [None] * len(texts)
+    group, held = [], 0
+
+    def close() -> None:
+        sizes = np.array([len(r) + 1 for _, r in group])
+        starts, words = _words(b"\n".join([r for _, r in group]))
+        first = np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(starts)).tolist()
+        for (i, _), a, b in zip(group, first, first[1:], strict=False):
+            out[i] = _set_of(words[a:b], shingle)
+
+    for i, t in enumerate(texts):
+        raw = t.encode("utf-8", "surrogatepass") if t else b""
+        if len(raw) > PIECE:
+            out[i] = _set_of(_long_words(raw), shingle)
+            continue
+        if held + len(raw) > PIECE:
+            close()
+            group, held = [], 0
+        group.append((i, raw))
+        held += len(raw) + 1
+    if group:
+        close()
+    return out
+
+
+def _shingled(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words in a row."""
+    h = np.full(max(0, len(words) - n + 1), n, _U)
     for i in range(n):
-        h = h * _U(0x9E3779B97F4A7C15) + ids[i : len(ids) - n + 1 + i]
+        h = h * _U(0x9E3779B97F4A7C15) + _mix(words[i : i + len(h)])
         h ^= h >> _U(29)
-    return np.unique(_mix(h))
+    return _mix(h)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    return hashed_sets([text], shingle)[0]
 
 
 def super_minhash(sets: list[np.ndarray]) -> np.ndarray:
@@ -161,10 +207,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
         docs, sets, held = [], [], 0
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SKETCH, strict=True)], schema=_SKETCH)
 
-    for batch in sliced(batches):
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    for batch in sliced(batches, 1, size=1 << 20):
+        for doc, own in zip(batch.column(0).to_pylist(), hashed_sets(batch.column(1).to_pylist(), shingle), strict=True):
             docs.append(doc)
-            sets.append(shingle_hashes(text, shingle))
+            sets.append(own)
             held += len(sets[-1])
             if held >= _CHUNK or len(sets) >= 4000:
                 yield drain()
@@ -244,16 +290,25 @@ def _compare(batches: Iterator[pa.RecordBatch], shingle: int | None, percent: in
         yield drain()
 
 
-def _in_blocks(members: DataFrame, key: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (key, p, q, side, doc, bits, ...) sorted for ``_compare``; ``members``: key, blocks, doc, bits, ..."""
-    block = F.pmod(F.xxhash64("doc", key), F.col("blocks")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = members.withColumn("block", block).select(key, "doc", "bits", "block", *more, others)
+def _sorted_blocks(dealt: DataFrame, key: str) -> DataFrame:
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, key, "p", "q").sortWithinPartitions(key, "p", "q", "side", "doc")
+
+
+def _every(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _block(key: str, n: Column) -> Column:
+    return F.pmod(F.xxhash64("doc", key), n).cast("int")
+
+
+def _in_blocks(members: DataFrame, key: str) -> DataFrame:
+    """Rows (key, p, q, side, doc, bits) sorted for ``_compare``; ``members``: key, blocks, doc, bits."""
+    dealt = members.withColumn("block", _block(key, F.col("blocks"))).select(key, "doc", "bits", "block", _every(F.col("blocks")).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(F.col("block") == low, 0).otherwise(1).alias("side")
-    dealt = dealt.select(key, low.alias("p"), high.alias("q"), side, "doc", "bits", *more)
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, key, "p", "q").sortWithinPartitions(key, "p", "q", "side", "doc")
+    return _sorted_blocks(dealt.select(key, low.alias("p"), high.alias("q"), side, "doc", "bits"), key)
 
 
 def _only(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -271,16 +326,61 @@ def _only(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
 
 def _links(docs: DataFrame, reps: DataFrame, families: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links that connect the groups within each family (doc, family), verified on full sets."""
+    spark = docs.sparkSession
     told = families.join(reps.select("doc", "k1", "k2", "bits", "n_shingles"), "doc")
     blocks = F.greatest(F.ceil(F.count("*") / (2 * BLOCK)), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
     sizes = told.groupBy("family").agg(blocks.alias("blocks"))
     wanted = stored(told.join(sizes, "family").select("family", "blocks", "bits", "doc", "k1", "k2"), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, docs["doc_id"] == wanted["doc"]).select("family", "blocks", "bits", "doc", "k1", "k2", "text")
-    texts = texts.mapInArrow(partial(_only, shingle=shingle), "family long, blocks int, bits binary, doc long, k1 long, k2 long, text string")
-    dealt = _in_blocks(texts.drop("k1", "k2"), "family", ("text",))
-    return stored(dealt.mapInArrow(partial(_compare, shingle=shingle, percent=percent), "a long, b long"), "links")
+    counted = wanted.agg(F.count("*"), F.max("blocks")).first()
+    texts = docs.join(F.broadcast(wanted) if counted[0] <= BROADCAST_ROWS else wanted, docs["doc_id"] == wanted["doc"])
+    texts = texts.select("family", "blocks", "bits", "doc", "k1", "k2", "text")
+    texts = texts.mapInArrow(partial(_only, shingle=shingle), "family long, blocks int, bits binary, doc long, k1 long, k2 long, text string").drop("k1", "k2")
+    several = (counted[1] or 0) > 1
+    if several:
+        texts = stored(texts, "texts")
+    kernel = partial(_compare, shingle=shingle, percent=percent)
+    home, n, zero = _block("family", F.col("blocks")), F.col("blocks"), F.lit(0)
+    # the family's smallest document stands in every block
+    at = F.explode(F.when(F.col("doc") == F.col("family"), F.sequence(zero, n - 1)).otherwise(F.array(home))).alias("p")
+    first = texts.select("family", at, zero.alias("q"), zero.alias("side"), "doc", "bits", "text")
+    links = stored(_sorted_blocks(first, "family").mapInArrow(kernel, "a long, b long"), "links")
+    if not several:
+        return links
+    large = texts.where("blocks > 1")
+    grouped = components(spark, links)
+    left = large.select("family", "doc").distinct().join(grouped, "doc", "left").where(F.coalesce("group", "doc") != F.col("family")).select("family", "doc")
+    left = stored(left, "left")
+    per_family = stored(left.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("left_blocks")), "left-blocks")
+    if per_family.limit(1).count() == 0:
+        return links
+    large = large.join(per_family, "family")
+    mine = large.join(left, ["family", "doc"]).withColumn("q", F.pmod(F.xxhash64("family", "doc", F.lit(3)), F.col("left_blocks")).cast("int"))
+    dealt = large.select("family", home.alias("p"), _every(F.col("left_blocks")).alias("q"), zero.alias("side"), "doc", "bits", "text")
+    dealt = dealt.union(mine.select("family", _every(n).alias("p"), "q", F.lit(1).alias("side"), "doc", "bits", "text"))
+    return stored(links.union(_sorted_blocks(dealt, "family").mapInArrow(kernel, "a long, b long")), "links")
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges (u, v) of one partition."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (above := up.get(top, top)) != top:
+            top = above
+        while x != top:
+            up[x], x = top, up.get(x, x)
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = sorted(up)
+    for at in range(0, len(nodes), 50_000):
+        some = nodes[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], names=["doc", "group"])
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -293,13 +393,18 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         return stored(rows.coalesce(max(1, n // EDGE_ROWS)), "edges")
 
     n = links.count()
-    edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), n)
+    pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if n <= CLOSE_EDGES:
+        return stored(pairs.coalesce(1).mapInArrow(_close, "doc long, group long"), "groups")
+    edges = kept(pairs.distinct(), n)
     state = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("group"))
         state, n = now, now[0]
+        if n <= CLOSE_EDGES:
+            return stored(edges.coalesce(1).mapInArrow(_close, "doc long, group long"), "groups")
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -311,6 +416,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: groups of documents whose sets overlap in ``percent`` of their union."""
     spark = docs.sparkSession
+    narrow_batches(spark)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     sketches = stored(docs.mapInArrow(partial(_sketch, shingle=shingle), SKETCH), "sketches")
     named = sketches.where("doc_id is not null and n_shingles > 0")
@@ -318,21 +424,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = first.select("k1", "k2", F.col("x.doc_id").alias("doc"), "x.n_shingles", "x.bits", "x.bands")
     reps = stored(reps, "representatives")
 
-    # a doc_id with two texts stands here once with each set
-    rep = F.struct("doc", "k1", "k2").alias("rep")
-    banded = reps.select(rep, F.explode("bands").alias("bucket"))
+    # members are named by doc_id: one with two texts brings both of its sets along, of which one may be no member
+    banded = reps.select("doc", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"),
-        F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(5))).alias("x"),
+        F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"),
+        F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("doc", F.lit(5))).alias("x"),
     ).where("n > 1")
     buckets = stored(buckets.groupBy("n", "low", "high", "s", "x").agg(F.min("bucket").alias("bucket")).drop("s", "x"), "buckets")
-    pairs_of_two = buckets.where("n = 2").select("bucket", "n", F.explode(F.array("low", "high")).alias("rep"))
+    pairs_of_two = buckets.where("n = 2").select("bucket", "n", F.explode(F.array("low", "high")).alias("doc"))
     large = buckets.where("n > 2").select("bucket", "n")
     if large.count() <= BROADCAST_ROWS:
         large = F.broadcast(large)  # the bands needn't be dealt a second time
-    larger = banded.join(large, "bucket").select("bucket", "n", "rep")
-    members = pairs_of_two.union(larger).distinct().join(reps.select(rep, "bits"), "rep")
-    members = members.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("rep.doc").alias("doc"), "bits")
+    larger = banded.join(large, "bucket").select("bucket", "n", "doc")
+    members = pairs_of_two.union(larger).distinct().join(reps.select("doc", "bits"), "doc")
+    members = members.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "doc", "bits")
     compared = _in_blocks(members, "bucket").mapInArrow(partial(_compare, shingle=None, percent=0), "a long, b long")
     pairs = stored(compared.distinct(), "pairs")
 
