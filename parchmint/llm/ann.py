@@ -19,11 +19,10 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.blocks import one_row_per_id, search
+from parchmint.llm.blocks import matrix, one_row_per_id, search
 
 SAMPLE = 20_000
 SAMPLE_QUERIES = 256
@@ -115,12 +114,6 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-
-
 def best_ids(rows: np.ndarray, scores: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[int, float]]:
     """The k best ids of these rows by score and id; a row's ids ascend."""
     if len(rows) > 4 * k:
@@ -130,24 +123,26 @@ def best_ids(rows: np.ndarray, scores: np.ndarray, ids: list[list[int]], k: int)
     return [(i, -s) for s, i in pairs[:k]]
 
 
-def _kernel(index: pa.Table, probes: pa.Table, models, k: int) -> pa.Table:
-    out: tuple[list, ...] = ([], [], [], [])
-    if index.num_rows and probes.num_rows:
-        x, q = matrix(index["v"], index.num_rows), matrix(probes["v"], probes.num_rows)
-        model = models.value[x.shape[1]]
-        ids, table, codes = index["ids"].to_pylist(), MultiIndex(model.of(x)), model.of(q, True)
-        scale = np.sqrt((x * x).sum(axis=1).max() * (q * q).sum(axis=1).max())
-        for i, (h1, h2) in enumerate(zip(probes["h1"].to_pylist(), probes["h2"].to_pylist(), strict=True)):
-            radius, least = model.radius, min(k + 1, len(x))
-            while len(rows := table.within(codes[i], radius)) < least:
-                radius += codes.shape[1]
-            rough = x[rows] @ q[i]
-            if len(rows) > 4 * k:  # all that can be among the best, rounding of the rough sums allowed for
-                rows = rows[rough >= np.partition(rough, len(rough) - k - 1)[-k - 1] - 1e-9 * scale]
-            for found, score in best_ids(rows, exact_scores(x[rows], q[i]), ids, k + 1):
-                for column, value in zip(out, (h1, h2, found, score), strict=True):
-                    column.append(value)
-    return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["h1", "h2", "id", "score"])
+class Block:
+    """The index of one block: its codes in substring tables, and its vectors for the reranking."""
+
+    def __init__(self, x: np.ndarray, ids: list[list[int]], model: Codes, k: int):
+        self.x, self.ids, self.model, self.k = x, ids, model, k
+        self.table, self.longest = MultiIndex(model.of(x)), np.sqrt((x * x).sum(axis=1).max())
+
+    def best(self, q: np.ndarray) -> list[tuple[int, float]]:
+        """The k + 1 best ids among all within the radius; the radius grows until it holds as many codes."""
+        x, k, code, radius = self.x, self.k, self.model.of(q[None], True)[0], self.model.radius
+        while len(rows := self.table.within(code, radius)) < min(k + 1, len(x)):
+            radius += len(code)
+        if len(rows) > 4 * k:  # all that can be among the best, rounding of the rough sums allowed for
+            rough, least = x[rows] @ q, 1e-9 * self.longest * np.sqrt(q @ q)
+            rows = rows[rough >= np.partition(rough, len(rough) - k - 1)[-k - 1] - least]
+        return best_ids(rows, exact_scores(x[rows], q), self.ids, k + 1)
+
+
+def _block(x: np.ndarray, ids: list[list[int]], models, k: int) -> Block:
+    return Block(x, ids, models.value[x.shape[1]], k)
 
 
 def usable(v) -> F.Column:
@@ -164,5 +159,5 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE) ->
     models = {}
     for d, longest in sorted((r["d"], r["longest"]) for r in rows.groupBy(F.size(v).alias("d")).agg(F.max(length).alias("longest")).collect()):
         some = rows.where(F.size(v) == d).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
-        models[d] = Codes(matrix(some["v"], some.num_rows), longest, k)
-    return search(rows, is_query, k, partial(_kernel, models=spark.sparkContext.broadcast(models), k=k), "double")
+        models[d] = Codes(matrix(some["v"].combine_chunks()), longest, k)
+    return search(rows, is_query, k, partial(_block, models=spark.sparkContext.broadcast(models), k=k), "double")

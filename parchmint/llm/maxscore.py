@@ -18,11 +18,10 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.ann import best_ids, matrix, usable
+from parchmint.llm.ann import best_ids, usable
 from parchmint.llm.blocks import one_row_per_id, search
 
 SCALE = 64
@@ -102,19 +101,22 @@ class Postings:
         return out
 
 
-def _kernel(index: pa.Table, probes: pa.Table, k: int) -> pa.Table:
-    out: tuple[list, ...] = ([], [], [], [])
-    if index.num_rows and probes.num_rows:
-        x, q = matrix(index["v"], index.num_rows), matrix(probes["v"], probes.num_rows)
-        if float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] >= 2.0**52:
-            whole = np.frompyfunc(int, 1, 1)
-            x, q = whole(x), whole(q)
-        ids, postings = index["ids"].to_pylist(), Postings(x)
-        for i, (h1, h2) in enumerate(zip(probes["h1"].to_pylist(), probes["h2"].to_pylist(), strict=True)):
-            for found, score in best_ids(*postings.top(q[i], k + 1), ids, k + 1):
-                for column, value in zip(out, (h1, h2, found, max(-(1 << 63), min((1 << 63) - 1, int(score)))), strict=True):
-                    column.append(value)
-    return pa.table([pa.array(c, pa.int64()) for c in out], names=["h1", "h2", "id", "score"])
+class Block:
+    """The postings of one block; in whole numbers of any size where sums could pass what a double holds exactly."""
+
+    def __init__(self, x: np.ndarray, ids: list[list[int]], k: int):
+        self.x, self.ids, self.k, self.most = x, ids, k, float(np.abs(x).max())
+        self._postings: dict[bool, Postings] = {}
+
+    def best(self, q: np.ndarray) -> list[tuple[int, int]]:
+        beyond = self.most * float(np.abs(q).max()) * len(q) >= 2.0**52
+        if beyond not in self._postings:
+            self._postings[beyond] = Postings(_WHOLE(self.x) if beyond else self.x)
+        found = best_ids(*self._postings[beyond].top(_WHOLE(q) if beyond else q, self.k + 1), self.ids, self.k + 1)
+        return [(i, max(-(1 << 63), min((1 << 63) - 1, int(score)))) for i, score in found]
+
+
+_WHOLE = np.frompyfunc(int, 1, 1)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = SCALE) -> DataFrame:
@@ -123,4 +125,4 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = SCALE) -> Data
     # whole numbers kept as doubles: a component beyond 64 bits stays what it is
     whole = F.transform(v.cast("array<double>"), lambda x: F.rint(x * scale) - F.when(F.rint(x * scale) > x * scale, 1.0).otherwise(0.0) + 0.0)
     rows = one_row_per_id(vectors.where(usable(v)).select("id", whole.alias("v")), usable(v))
-    return search(rows, is_query, k, partial(_kernel, k=k), "long")
+    return search(rows, is_query, k, partial(Block, k=k), "long")
