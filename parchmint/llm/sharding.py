@@ -1,12 +1,13 @@
 """Sharding by histogram sort: equal bytes per shard, splitters from exact counts, one exchange.
 
-Rows are ordered by (xxhash64 of the text, doc_id, crc32 of the text): equal texts lie side by side, and a group of
-copies larger than a shard is split at doc_ids. Splitters are the keys below which k/parts of all bytes lie. They are
-found by refining: every open target has an interval of keys; each round counts the exact bytes and rows in ``PROBES``
-equal slices of every interval, all partitions at once with partial sums before the exchange, and keeps the slice that
-holds the target, until the slice is lighter than the tolerance. When the hash can't be cut further, the interval is cut
-by doc_id. Then rows are numbered in one exchange: by part (a shard is several parts, so a shard's rows needn't fit into
-a task), sorted within it, after the rows that the counts found before the part.
+Rows are ordered by (xxhash64 of the text, doc_id, crc32 of the text), so equal texts lie side by side. Splitters are the
+keys below which k/shards of all bytes lie. They are found by refining: every open target has an interval of keys; each
+round counts the exact bytes and rows in ``PROBES`` equal slices of every interval, all partitions at once with partial
+sums before the exchange, and keeps the slice that holds the target, until the counts at one of its ends are within
+``TOLERANCE`` of a shard's bytes. When the hash can't be cut further, a group of copies that straddles a target and weighs
+more than the tolerance on both sides of it is cut by doc_id. Then rows are numbered in one exchange: by part (a shard is
+several parts of about ``PART_ROWS`` rows, found by looser splitters, so a shard's rows needn't fit into a task), sorted
+within it, after the rows that the counts found before the part. How many parts there are changes no result.
 
 Cases: a null text has no bytes (size 1) and the crc of the empty text, and groups with empty texts; repeated rows are
 numbered side by side, in one shard save where a splitter cuts between doc_ids; null doc_ids come first in their group;
@@ -25,8 +26,9 @@ from parchmint.llm.shared import stored
 
 SHARDS = 16
 PROBES = 256
-#: A splitter may stand this share of a part's bytes away from its target.
+#: A splitter may stand this share of a shard's bytes away from its target, and one between parts that share of a part's.
 TOLERANCE = 0.002
+PART_TOLERANCE = 0.25
 #: Rows per part that one task numbers; more rows make more parts.
 PART_ROWS = 1_000_000
 MAX_PARTS_PER_SHARD = 256
@@ -79,10 +81,13 @@ def _counts(rows: DataFrame, cells: list[tuple[int, int | None, int, int, int]])
     return {(r["at"]["cell"], r["at"]["slice"]): (r["b"], r["n"]) for r in got}
 
 
-def find_splitters(rows: DataFrame, parts: int, total: int, span: tuple[int, int]) -> list[_Target]:
-    """Targets with their final splitters, in key order. At most ``parts`` x PROBES counts come to the driver a round."""
-    targets = [_Target(total * k / parts, 0, _LOW, 1 << 63) for k in range(1, parts)]
-    allowed = TOLERANCE * total / parts
+def find_splitters(rows: DataFrame, parts: int, total: int, span: tuple[int, int], tolerance: float = TOLERANCE, skip: int = 0) -> list[_Target]:
+    """Targets with their final splitters, in key order; every ``skip``-th is left out.
+
+    At most ``parts`` x PROBES counts come to the driver a round.
+    """
+    targets = [_Target(total * k / parts, 0, _LOW, 1 << 63) for k in range(1, parts) if not skip or k % skip]
+    allowed = tolerance * total / parts
     while open_ := [t for t in targets if not t.done]:
         cells = sorted({(t.level, t.hash, t.low, t.high) for t in open_}, key=str)
         cells = [(*c, -(-(c[3] - c[2]) // PROBES)) for c in cells]
@@ -128,18 +133,24 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, part_rows: int = PART
     # null doc_ids take the place just before the smallest one
     rows = rows.withColumn("named", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(max(span[0] - 1, _LOW)))) 
     span = (max(span[0] - 1, _LOW), span[1])
-    found = find_splitters(rows, parts, whole["b"], span) if whole["n"] else []
+    bounds = find_splitters(rows, shards, whole["b"], span) if whole["n"] else []
+    inner = find_splitters(rows, parts, whole["b"], span, PART_TOLERANCE, per_shard) if whole["n"] and per_shard > 1 else []
+    found = sorted([(t, 1) for t in bounds] + [(t, 0) for t in inner], key=lambda x: (x[0].rows_below, x[0].splitter()[0], x[0].splitter()[1] is not None, x[0].splitter()[1] or 0))
+    shard_of = [0]
+    for _, is_bound in found:
+        shard_of.append(shard_of[-1] + is_bound)
+    found = [t for t, _ in found]
     cuts = [t.splitter() for t in found]
     at_or_after = [F.col("key") >= F.lit(h) if d is None else (F.col("key") > F.lit(h)) | ((F.col("key") == F.lit(h)) & (F.col("doc_id") >= F.lit(d))) for h, d in cuts]
     part = _count_true(at_or_after)
     before = [0, *(t.rows_below for t in found)]
-    ahead = [b - before[i - i % per_shard] for i, b in enumerate(before)]
+    ahead = [b - before[shard_of.index(shard_of[i])] for i, b in enumerate(before)]
     placed = rows.withColumn("part", part).withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("key", "doc_id", "text_crc32")))
-    offset = F.element_at(F.array(*map(F.lit, ahead)), F.col("part") + 1).cast("long") if found else F.lit(0).cast("long")
+    of_part = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("part") + 1)
     return placed.select(
         F.col("named").alias("doc_id"), "size", "text_crc32", "key",
-        F.floor(F.col("part") / per_shard).cast("int").alias("shard"),
-        (F.col("nth") - 1 + offset).cast("long").alias("slot"),
+        of_part(shard_of).cast("int").alias("shard"),
+        (F.col("nth") - 1 + of_part(ahead)).cast("long").alias("slot"),
     )
 
 
