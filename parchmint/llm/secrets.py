@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchmint.llm.shared import narrow_batches, sliced
+
 THRESHOLD = 0.6
 KINDS = ("assign", "access", "hex", "literal")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -124,7 +126,7 @@ def find(text: str | None) -> list[tuple[str, int, int, int, float, str]]:
                         best[span] = (score, name)
         for (a, b), (score, name) in best.items():
             if not any(x <= a and b <= y for x, y in taken):
-                out.append(("literal", a, b, a, round(score, 6), name[:200]))
+                out.append(("literal", a, b, a, round(score, 6), name))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -135,7 +137,7 @@ SPANS = "array<struct<kind:string,start:int,end:int,secret_start:int,score:doubl
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [n for n, _ in _FIELDS]
-    for batch in batches:
+    for batch in sliced(batches, -1):
         found = [[dict(zip(names, s, strict=True)) for s in find(t)] for t in batch.column(batch.num_columns - 1).to_pylist()]
         kept = batch.select(range(batch.num_columns - 1))
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, _SPANS)], names=[*kept.schema.names, "secrets"])
@@ -143,6 +145,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep`` and ``secrets`` (spans by start; code points, end exclusive) of every row."""
+    narrow_batches(docs.sparkSession)
     rows = docs.select(*keep, docs[text].cast("string").alias("_secret_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
     return rows.mapInArrow(_scan, f"{schema}, secrets {SPANS}")
@@ -162,7 +165,7 @@ def masked(text: str | None, mask: str = "[secret]") -> str | None:
 
 
 def _mask(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, column):
         yield batch.set_column(column, batch.schema.field(column), pa.array(map(masked, batch.column(column).to_pylist()), batch.schema.field(column).type))
 
 
@@ -170,6 +173,7 @@ def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the secrets of each text masked; all columns and rows stay."""
     from functools import partial
 
+    narrow_batches(docs.sparkSession)
     return docs.mapInArrow(partial(_mask, column=docs.columns.index(text)), docs.schema)
 
 
