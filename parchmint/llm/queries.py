@@ -26,7 +26,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size("pii_" + k).cast("long").alias("n_" + k)
     base = F.concat(*[F.col("pii_" + k) for k in pii.BASE_KINDS])
     every = F.concat(*[F.col("pii_" + d.kind) for d in pii.DETECTORS])
-    return found.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
+    n = F.size(every).cast("long").alias("n_spans")
+    return found.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(every).alias("spans"), n)
 
 
 def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
