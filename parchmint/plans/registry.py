@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmint.plans import figures, layout, library, printed, reading, statements
+from parchmint.plans import figures, layout, library, printed, proofs, reading, statements, structure
 
 FLAGSHIP = "statement_footing"
-_ALL = figures.QUERIES | layout.QUERIES | library.QUERIES | reading.QUERIES | statements.QUERIES | printed.QUERIES
+_ALL = figures.QUERIES | layout.QUERIES | library.QUERIES | reading.QUERIES | statements.QUERIES | printed.QUERIES | structure.QUERIES | proofs.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
