@@ -52,7 +52,7 @@ EDGE_ROWS = 250_000
 CLOSE_EDGES = 1_000_000
 _CHUNK = 1 << 16
 #: Bytes of text whose words are cut at a time, save one longer word.
-PIECE = 1 << 18
+PIECE = 1 << 17
 _SPACE = re.compile(rb"[\x20\t-\r]")
 _U = np.uint64
 

@@ -29,6 +29,8 @@ CAPACITY = 2048
 BLOCK_WINDOWS = 64
 #: Ids left free in each window of a full block, which the differencing may use up for unequal sums.
 SLACK = 14
+#: Pieces (some 1 to 8 KB each) that leave a task at a time.
+OUT_ROWS = 500
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")])
 
@@ -118,7 +120,7 @@ def _kernel(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
     for batch in sliced(batches, 1):
         for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), end_id), strict=True):
             packer.add(doc, ids)
-            if len(packer.out) >= 4000:
+            if len(packer.out) >= OUT_ROWS:
                 yield packer.drain()
     packer.flush()
     if packer.out:

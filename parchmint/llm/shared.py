@@ -72,7 +72,7 @@ def hold_cache(owner: str, clear: Callable[[], None]) -> None:
 
 
 #: Bytes of rows that Spark hands to a Python kernel at a time, where the session keeps Spark's own default of 64 MB.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 
 
 def narrow_batches(spark: SparkSession) -> None:

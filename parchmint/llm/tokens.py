@@ -21,12 +21,12 @@ import re
 import numpy as np
 
 from parchmint.llm.codes import code_points, find_sorted, hashed, spread
-from parchmint.llm.shared import hold_cache
+from parchmint.llm.shared import free_memory, hold_cache
 
 #: Ids of known words and chunks a worker keeps before it starts anew; bounds its memory (some 12 bytes each) and changes no result.
 CACHE_IDS = 3_000_000
 #: Characters of text worked on at a time, save one longer chunk.
-PIECE = 1 << 18
+PIECE = 1 << 17
 
 #: Texts on which encoding by chunk must equal encoding whole.
 PROBES = (
@@ -275,4 +275,5 @@ def tokenizer(path: str) -> TextTokenizer:
     hold_cache("tokens", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = TextTokenizer(path)
+        free_memory()  # what reading the file took
     return _LOADED[path]

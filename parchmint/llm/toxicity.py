@@ -45,7 +45,7 @@ SHARED_MASS = 4
 #: The most toxic words whose mean evidence is a document's.
 FEW = 3
 #: Characters of text in memory at a time, and taught words whose grams are.
-PIECE = 1 << 18
+PIECE = 1 << 17
 CHUNK_WORDS = 20_000
 #: Spellings of untaught words a worker keeps (16 bytes each) before it starts anew; changes no result.
 CACHE_WORDS = 500_000
