@@ -138,15 +138,65 @@ def page_contexts(pages: DataFrame) -> DataFrame:
     return told.join(doc, "doc", "left")
 
 
+def _shared(p0: Column, p1: Column, q0: Column, q1: Column) -> Column:
+    """Overlap of two stretches as a share of the shorter one."""
+    return F.greatest(F.least(p1, q1) - F.greatest(p0, q0), F.lit(0.0)) / F.greatest(F.least(p1 - p0, q1 - q0), F.lit(1e-6))
+
+
+def same_place(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
+    """Whether two recognised lines stand in one place."""
+    return (_shared(ax0, ax1, bx0, bx1) >= 0.10) & (_shared(ay0, ay1, by0, by1) >= 0.35)
+
+
+def coincident(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
+    """Whether one box repeats another: eight tenths of the smaller on both axes."""
+    return (_shared(ax0, ax1, bx0, bx1) >= 0.80) & (_shared(ay0, ay1, by0, by1) >= 0.80)
+
+
+def overlapping_copies(lines: DataFrame) -> DataFrame:
+    """(doc, page): pages with a line that repeats another of the same text in its place: a hidden text layer. ``lines``:
+    doc, page, id, text, x0, y0, x1, y1; only lines of one text meet."""
+    a = lines.select("doc", "page", "text", *(F.col(c).alias("a_" + c) for c in ("id", "x0", "y0", "x1", "y1")))
+    met = lines.join(a, ["doc", "page", "text"]).where("id > a_id").where(coincident(*(F.col(c) for c in ("a_x0", "a_y0", "a_x1", "a_y1", "x0", "y0", "x1", "y1"))))
+    return met.select("doc", "page").distinct()
+
+
+def sparse_text(pages: Column, letters: Column, words: Column, lines: Column) -> Column:
+    """Whether a document of so many pages has implausibly little text."""
+    few = (letters < F.greatest(F.lit(40), pages * 20)) | (words < F.greatest(F.lit(8), pages * 4)) | (lines < F.greatest(F.lit(3), pages * 2))
+    return (pages > 0) & few
+
+
+def pages_to_recognise(pages: DataFrame) -> DataFrame:
+    """(doc, page, why): pages whose text can't be used: garbled; there but weak; or none, on a page with a scan or drawings.
+    ``pages``: doc, page, chars, letter_share, invalid_share, garbled, image_share, drawings."""
+    good = (F.col("chars") >= 80) & (F.col("letter_share") >= 0.30) & (F.col("invalid_share") < 0.02)
+    why = F.when(F.col("garbled"), "garbled").when(good, F.lit(None)).when(F.col("chars") > 0, "weak").when((F.col("image_share") >= 0.5) | (F.col("drawings") >= 3), "image")
+    return pages.select("doc", "page", why.alias("why")).where("why is not null")
+
+
+def takes_turned(first: Column, second: Column) -> Column:
+    """Whether a page recognised again after turning it is better: enough of its words and letters, and sure enough: within
+    two points of a good first reading, eight above a poor one. Both: struct (confidence, words, chars)."""
+    enough = (second["words"] >= F.greatest(F.lit(5.0), first["words"] * 0.5)) & (second["chars"] >= F.greatest(F.lit(20.0), first["chars"] * 0.5))
+    least = F.when(first["confidence"] >= 75, first["confidence"] - 2).otherwise(first["confidence"] + 8)
+    return enough & (second["confidence"] >= F.greatest(F.lit(50.0), least))
+
+
+def takes_cleaned(first: Column, second: Column) -> Column:
+    """Whether a page recognised again after cleaning adds a twentieth of text without losing its sureness."""
+    more = (second["chars"] >= first["chars"] * 1.05) & (second["words"] >= first["words"] * 1.05)
+    return more & (second["confidence"] >= F.greatest(F.lit(45.0), first["confidence"] - 15))
+
+
 def merged_reading(first: DataFrame, second: DataFrame) -> DataFrame:
     """Lines of two recognition passes of a page: the second adds lines that no line of the first overlaps, and replaces
-    weaker ones that it overlaps (more than half of the lower height and of the narrower width).
+    weaker ones that it overlaps (a tenth of the narrower width and 35 % of the lower height).
 
     Both: page, id, x0, y0, x1, y1, confidence, text. Lines of one page meet in an equi-join on it.
     """
     a, b = first.select("page", *(F.col(c).alias("a_" + c) for c in ("id", "x0", "y0", "x1", "y1", "confidence"))), second
-    over = lambda p0, p1, q0, q1: F.greatest(F.least(p1, q1) - F.greatest(p0, q0), F.lit(0.0)) > 0.5 * F.least(p1 - p0, q1 - q0)
-    met = b.join(a, "page").where(over(F.col("a_x0"), F.col("a_x1"), F.col("x0"), F.col("x1")) & over(F.col("a_y0"), F.col("a_y1"), F.col("y0"), F.col("y1")))
+    met = b.join(a, "page").where(same_place(*(F.col(c) for c in ("a_x0", "a_y0", "a_x1", "a_y1", "x0", "y0", "x1", "y1"))))
     per_new = met.groupBy("page", "id").agg(F.max("a_confidence").alias("best"), F.max("confidence").alias("own"), F.collect_set("a_id").alias("over"))
     stronger = per_new.where("own > best")
     gone = stronger.select("page", F.explode("over").alias("id"))
