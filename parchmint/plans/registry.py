@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmint.plans import figures, layout, library, links, printed, proofs, reading, sources, statements, structure, tables
+from parchmint.plans import figures, layout, library, links, printed, proofs, reading, sources, statements, structure, tables, values
 
 FLAGSHIP = "statement_footing"
-_ALL = figures.QUERIES | layout.QUERIES | library.QUERIES | reading.QUERIES | statements.QUERIES | printed.QUERIES | structure.QUERIES | proofs.QUERIES | links.QUERIES | tables.QUERIES | sources.QUERIES
+_ALL = figures.QUERIES | layout.QUERIES | library.QUERIES | reading.QUERIES | statements.QUERIES | printed.QUERIES | structure.QUERIES | proofs.QUERIES | links.QUERIES | tables.QUERIES | sources.QUERIES | values.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
