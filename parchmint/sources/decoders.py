@@ -85,20 +85,37 @@ def sniffed(head: str) -> str:
     return max(steady, key=lambda d: (steady[d], -",;\t|".index(d))) if steady else ","
 
 
-def sheet_cells(text: str) -> list[tuple[int, int, str]]:
-    """(row, column, text) of a delimited text, within the sheet limits, trailing blank rows dropped."""
-    rows = [r[:SHEET_COLUMNS] for _, r in zip(range(SHEET_ROWS), csv.reader(io.StringIO(text), delimiter=sniffed(text)))]
+def delimited(text: str) -> tuple[list[tuple[int, int, str]], bool]:
+    """(row, column, text) of a delimited text within the sheet limits, trailing blank rows dropped; and whether the text has
+    more rows or columns than are kept."""
+    rows, cut = [], False
+    for n, r in enumerate(csv.reader(io.StringIO(text), delimiter=sniffed(text))):
+        if n >= SHEET_ROWS:
+            cut = cut or any(c.strip() for c in r)
+            continue
+        cut = cut or len(r) > SHEET_COLUMNS
+        rows.append(r[:SHEET_COLUMNS])
     while rows and not any(c.strip() for c in rows[-1]):
         rows.pop()
-    return [(i, j, c) for i, r in enumerate(rows, 1) for j, c in enumerate(r, 1)]
+    return [(i, j, c) for i, r in enumerate(rows, 1) for j, c in enumerate(r, 1)], cut
+
+
+def sheet_cells(text: str) -> list[tuple[int, int, str]]:
+    return delimited(text)[0]
 
 
 def mail_parts(content: bytes) -> dict:
-    """Six header fields, the body (HTML before plain text), and the names of attachments."""
+    """Six header fields, the body (HTML before plain text, its images by content id put in), and the names of attachments."""
+    from parchmint.sources.sheets import with_inline_images
+
     m = message_from_bytes(content, policy=policy.default)
     body = m.get_body(("html", "plain"))
+    text = body.get_content() if body else ""
+    images = {str(p["content-id"]).strip("<> "): (p.get_content_type(), p.get_payload(decode=True) or b"") for p in m.walk() if p.get_content_maintype() == "image" and p["content-id"]}
+    if images and body.get_content_subtype() == "html":
+        text = with_inline_images(text, images)
     out = {h: str(m[h]) if m[h] is not None else None for h in ("from", "to", "cc", "bcc", "date", "subject")}
-    return out | {"body": body.get_content() if body else "", "attachments": [a.get_filename() or "" for a in m.iter_attachments() if a.get_content_disposition() == "attachment"]}
+    return out | {"body": text, "attachments": [a.get_filename() or "" for a in m.iter_attachments() if a.get_content_disposition() == "attachment"]}
 
 
 _MAIL = pa.struct([*((h, pa.string()) for h in ("from", "to", "cc", "bcc", "date", "subject", "body")), ("attachments", pa.list_(pa.string()))])

@@ -79,3 +79,12 @@ def test_nested_geometry_and_hocr(spark):
 def test_inline_images():
     got = sheets.with_inline_images('<img src="cid:a@b"> <img src=cid:zz>', {"a@b": ("image/png", b"\x01")})
     assert got == '<img src="data:image/png;base64,AQ=="> <img src=cid:zz>'
+
+
+def test_mail_with_an_image_and_a_long_sheet():
+    from parchmint.sources import decoders
+
+    mail = b"""From: a@x.org\nSubject: Hi\nMIME-Version: 1.0\nContent-Type: multipart/related; boundary=B\n\n--B\nContent-Type: text/html\n\n<img src="cid:p1">\n--B\nContent-Type: image/png\nContent-ID: <p1>\nContent-Transfer-Encoding: base64\n\nAQ==\n--B--\n"""
+    assert 'src="data:image/png;base64,AQ=="' in decoders.mail_parts(mail)["body"]
+    cells, cut = decoders.delimited("a,b\n" * 5001)
+    assert cut and len(cells) == 10_000 and decoders.delimited("a,b\n1,2\n")[1] is False and decoders.delimited(",".join("x" * 300))[1] is True
