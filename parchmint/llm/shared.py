@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,10 +21,13 @@ ASCII_SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where the session names none, a temporary folder if driver
+    and executors are one process, as in tests; on a cluster a folder in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parchmint-"))
+        alone = re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master)
+        named = tempfile.mkdtemp(prefix="parchmint-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/parchmint-work"
+        spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named
 
