@@ -179,3 +179,29 @@ def word_class(c: Column) -> Column:
     for name, pattern in reversed(rules):
         out = F.when(c.rlike(pattern), name).otherwise(out)
     return out
+
+
+#: What kinds of references and reasons of refusal mean, in a reader's words.
+MEANINGS = {
+    "phone": "a phone number", "postal": "a postal code", "tax-id": "a tax number", "security-id": "a security's symbol", "identifier": "an identifier", "note": "a note that is cited", "item": "an item that is cited",
+    "page-furniture": "part of a running head or foot", "superscript": "raised type", "citation-year": "the year of a law", "unsupported": "a number that a sentence needed", "partial-token": "a part of something else",
+    "list-marker": "the number of a list's entry", "footnote-marker": "the number of a footnote", "footnote-reference": "a mark that points at a footnote",
+}
+
+
+def explained(spans: DataFrame) -> DataFrame:
+    """Adds ``told``, a sentence on how a span was read, and ``facts`` (name: value) that a reader can check. ``spans``:
+    category, reason, kind, text, normalized, currency, magnitude, date_precision, clickable, page."""
+    says = F.create_map(*[F.lit(x) for pair in MEANINGS.items() for x in pair])
+    meaning = F.coalesce(F.try_element_at(says, F.col("reason")), F.col("reason"))
+    kind, n = F.col("kind"), F.col("normalized")
+    read = (
+        F.when(n.isNull(), F.concat(F.lit("Printed as a "), kind, F.lit(", of which no value could be made."))).when(kind == "percent", F.concat(F.lit("Read as "), n, F.lit(" percent.")))
+        .when(kind == "date", F.concat(F.lit("Read as "), n, F.lit(", to the "), F.coalesce("date_precision", F.lit("day")), F.lit("."))).otherwise(F.concat(F.lit("Read as "), n, F.lit(".")))
+    )
+    told = F.when(F.col("category") == "value", read).when(F.col("category") == "reference", F.concat(F.lit("Captured as printed: "), meaning, F.lit("."))).otherwise(F.concat(F.lit("Not a figure: "), meaning, F.lit(".")))
+    printed = F.exists(F.array(*map(F.lit, [*vocab.CURRENCY_CODES, *vocab.CURRENCY_SYMBOLS])), lambda c: F.contains(F.upper(F.col("text")), c))
+    fact = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value.cast("string")))
+    currency = F.when(printed, F.col("currency")).otherwise(F.concat(F.col("currency"), F.lit(" (from the page)")))
+    facts = F.array(fact("value", n), fact("currency", currency), fact("magnitude", F.col("magnitude")), fact("type", kind), fact("click target", F.when(F.col("clickable"), "yes").otherwise("no")), fact("page", F.col("page") + 1))
+    return spans.withColumn("told", told).withColumn("facts", F.filter(facts, lambda x: x.isNotNull()))

@@ -157,3 +157,11 @@ def test_rules_and_regions(spark):
 def test_hidden_copies(spark):
     lines = spark.createDataFrame([("d", 1, 1, "a", 0.1, 0.1, 0.5, 0.2), ("d", 1, 2, "a", 0.1, 0.1, 0.48, 0.2), ("d", 2, 1, "a", 0.1, 0.1, 0.5, 0.2), ("d", 2, 2, "b", 0.1, 0.1, 0.5, 0.2)], "doc string, page int, id int, text string, x0 double, y0 double, x1 double, y1 double")
     assert [r["page"] for r in evidence.overlapping_copies(lines).collect()] == [1]
+
+
+def test_spans_explain_themselves(spark):
+    rows = [("value", None, "number", "$5", "5", "USD", None, None, True, 0), ("value", None, "date", "May 2024", "2024-05", None, None, "month", True, 1), ("noise", "citation-year", "date", "1933", "1933", None, None, "year", False, 1), ("value", None, "number", "7", "7", "EUR", 1000, None, True, 2)]
+    df = spark.createDataFrame(rows, "category string, reason string, kind string, text string, normalized string, currency string, magnitude long, date_precision string, clickable boolean, page int")
+    got = [(r["told"], list(r["facts"])) for r in reading.explained(df).collect()]
+    assert got[0] == ("Read as 5.", ["value: 5", "currency: USD", "type: number", "click target: yes", "page: 1"])
+    assert got[1][0] == "Read as 2024-05, to the month." and got[2][0] == "Not a figure: the year of a law." and "currency: EUR (from the page)" in got[3][1]
