@@ -44,6 +44,8 @@ BITS = 8 * BLOCK
 OPEN_BLOCKS = 256
 _HEAD = struct.Struct("<4sHHQQQ")
 SHARD_TOKENS = 1 << 21
+#: Records whose places (some 30 bytes each) are broadcast; those of more are joined by shuffling.
+BROADCAST_RECORDS = 200_000
 RECORD = "part long, shard long, first_doc long, documents long, tokens long, record binary"
 _RECORD = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("first_doc", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64()), ("record", pa.binary())])
 TOKENS = "doc_id long, start long, n_tokens long, ids binary"
@@ -72,7 +74,7 @@ class WaveletMatrix:
             ones[level, 1:] = np.cumsum(counts)[:-1]
             zeros.append(len(now) - int(counts.sum()))
             frames.append([pack(plane[b * BLOCK : (b + 1) * BLOCK].tobytes()) for b in range(blocks)])
-            now = np.concatenate((now[~bit], now[bit]))
+            now = np.concatenate((now.compress(~bit), now.compress(bit)))
         return cls(len(ids), zeros, ones, frames)
 
     def _block(self, level: int, b: int) -> np.ndarray:
@@ -161,8 +163,8 @@ class WaveletMatrix:
             plane = np.frombuffer(b"".join(map(unpack, self.frames[level])), np.uint8)
             bit = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             up, z = np.empty_like(now), self.zeros[level]
-            up[~bit] = now[:z]
-            up[bit] = now[z:] | np.asarray(1 << (self.levels - 1 - level), now.dtype)
+            up[np.flatnonzero(~bit)] = now[:z]
+            up[np.flatnonzero(bit)] = now[z:] | np.asarray(1 << (self.levels - 1 - level), now.dtype)
             now = up
         return now.astype("<u4")
 
@@ -270,4 +272,6 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     sizes = records.select("part", "shard", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("in_part_before"))
     # a row per record of a few megabytes, without its bytes: the count is the input over the shard size
     bases = sizes.join(parts, "part").select("part", "shard", (F.col("before_part") + F.col("in_part_before")).alias("base"))
+    if records.count() <= BROADCAST_RECORDS:
+        bases = F.broadcast(bases)  # the records needn't be dealt a second time
     return records.join(bases, ["part", "shard"]).select("base", "record").mapInArrow(_decode, TOKENS)
