@@ -60,17 +60,25 @@ def furniture(lines: DataFrame) -> DataFrame:
     return edges.select(*KEYS).union(bare).distinct()
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows that many steps read, written once to the checkpoint folder where the session has one: the plan starts anew from
+    them, and a lost executor costs no more than its task."""
+    spark = rows.sparkSession
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return rows.checkpoint() if named else rows
+
+
 def detect(glyphs: DataFrame) -> DataFrame:
     """(doc, page, line, start, end, text, kind, normalized, currency, magnitude, date_precision, category, reason, clickable,
     x, y, w, h, span_id) of every span of every document."""
-    placed = placed_glyphs(glyphs)
-    lines = text_lines(placed)
-    ranges, cited = claims(lines)
-    marks = lists.list_marks(lines)
+    placed = kept(placed_glyphs(glyphs))
+    lines = kept(text_lines(placed))
+    ranges, cited = map(kept, claims(lines))
+    marks = kept(lists.list_marks(lines))
     shape = [*KEYS, "start", "end"]
     taken = ranges.union(cited)
     marks = lists.fenced(marks.select(*shape, "text", "kind"), taken).where("role is null").drop("role")
-    wrapped = evidence.wrapped_dates(lines)
+    wrapped = kept(evidence.wrapped_dates(lines))
     after = lines.select("doc", "page", F.col("line").alias("next"), F.lag("line").over(Window.partitionBy("doc", "page").orderBy("line")).alias("line"))
     years = wrapped.join(after, ["doc", "page", "line"]).select("doc", "page", F.col("next").alias("line"), F.col("year_start").alias("start"), (F.col("year_start") + 4).alias("end"), F.lit("wrapped").alias("kind"))
     heads = wrapped.select(*shape, F.lit("wrapped").alias("kind"))
