@@ -3,6 +3,11 @@
 toxicity drops what the class-conditional models score 0.3 or more; near_dedup keeps the first document of each group of
 near copies (five-word shingles, similarity 0.8); secrets masks what is secret in each text; mixing repeats or leaves
 out documents so that the sources' words meet their target weights; packing deals the token ids into windows.
+
+Cases: null and empty texts score as texts without a word do, are copies of nothing, and are kept once by the mix, as they
+have no words to weigh; rows of one doc_id fall or stay together as near copies; rows with a null doc_id are kept; a null
+source is a source of its own; equal rows get alike in every stage; empty tables give empty results; all columns of the
+documents stay through the first four stages, whatever they are called, and ``n_chars`` follows the masked text.
 """
 
 from __future__ import annotations
