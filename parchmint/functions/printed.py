@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions import vocab
-from parchmint.functions.scalars import collapsed
+from parchmint.functions.scalars import bound, collapsed
 
 _NAMES = {m: i for i, m in enumerate(vocab.MONTHS, 1)} | {m[:3]: i for i, m in enumerate(vocab.MONTHS, 1)} | {"sept": 9}
 _EPOCH = "1899-12-30"
@@ -36,9 +36,13 @@ def auto_date(text: Column) -> Column:
     Forms, in order: Q3 2025 or 2025-Q3; 2025-9-27 or 20250927; 9/27/25 (month first; two-digit years up to 49 are 20xx);
     Sep 27, 2025 or 27 Sep 2025; September 2025.
     """
-    t = F.regexp_replace(collapsed(text), r"(?i)(?<=[0-9])(?:st|nd|rd|th)\b", "")
+    plain = F.regexp_replace(collapsed(text), r"(?i)(?<=[0-9])(?:st|nd|rd|th)\b", "")
+    return bound(plain, lambda t: F.when(t.rlike("[0-9]"), _one_date(t)))  # every form has digits
+
+
+def _one_date(t: Column) -> Column:
     g = lambda p, i: F.regexp_extract(t, p, i)
-    made = lambda value, kind: F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(kind).alias("kind")))
+    made = lambda value, kind, form: F.when(t.rlike(form), bound(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(kind).alias("kind")))))
     n = lambda c: c.try_cast("int")
     quarter = r"(?i)^(?:Q([1-4]) ?[-/]? ?([0-9]{4})|([0-9]{4}) ?[-/]? ?Q([1-4]))$"
     q = n(F.concat(g(quarter, 1), g(quarter, 4)))
@@ -50,9 +54,9 @@ def auto_date(text: Column) -> Column:
     year = F.when(F.length(g(us, 3)) == 2, F.when(year <= 49, year + 2000).otherwise(year + 1900)).otherwise(year)
     mdy, dmy, my = r"^([A-Za-z]+\.?) ([0-9]{1,2}),? ([0-9]{4})$", r"^([0-9]{1,2}) ([A-Za-z]+\.?),? ([0-9]{4})$", r"^([A-Za-z]+\.?) ([0-9]{4})$"
     return F.coalesce(
-        made(of_quarter, "quarter"), made(_day(n(g(iso, 1)), n(g(iso, 2)), n(g(iso, 3))), "day"), made(_day(n(g(compact, 1)), n(g(compact, 2)), n(g(compact, 3))), "day"),
-        made(_day(year, n(g(us, 1)), n(g(us, 2))), "day"), made(_day(n(g(mdy, 3)), _month(g(mdy, 1)), n(g(mdy, 2))), "day"),
-        made(_day(n(g(dmy, 3)), _month(g(dmy, 2)), n(g(dmy, 1))), "day"), made(_day(n(g(my, 2)), _month(g(my, 1)), F.lit(1)), "month"),
+        made(of_quarter, "quarter", quarter), made(_day(n(g(iso, 1)), n(g(iso, 2)), n(g(iso, 3))), "day", iso), made(_day(n(g(compact, 1)), n(g(compact, 2)), n(g(compact, 3))), "day", compact),
+        made(_day(year, n(g(us, 1)), n(g(us, 2))), "day", us), made(_day(n(g(mdy, 3)), _month(g(mdy, 1)), n(g(mdy, 2))), "day", mdy),
+        made(_day(n(g(dmy, 3)), _month(g(dmy, 2)), n(g(dmy, 1))), "day", dmy), made(_day(n(g(my, 2)), _month(g(my, 1)), F.lit(1)), "month", my),
     )
 
 
@@ -83,31 +87,32 @@ def one_number(text: Column) -> Column:
     """(value, grouped, places, brackets, percent, scale) of a text that is one number, white space and a leading currency
     aside: (4)%'s bracket closes after the sign, "(1.5%)"; a percentage is its fraction; brackets are negative."""
     currency = "(?:" + "|".join([*vocab.CURRENCY_CODES, "[" + "".join(vocab.CURRENCY_SYMBOLS) + "]"]) + ")"
-    t = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", ""), rf"(?i)^(\()?([+-]?){currency}", "$1$2")
-    g = lambda p, i: F.regexp_extract(t, p, i)
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", ""), rf"(?i)^(\()?([+-]?){currency}", "$1$2")
+    g = F.regexp_extract
     forms = ((rf"^\({_FIGURE}%\)$", True, True, False), (rf"(?i)^\({_FIGURE}{_MAGNITUDE}?\)$", True, False, True), (r"^([+-]?[0-9,]+(?:\.[0-9]+)?)%$", False, True, False), (rf"(?i)^([+-]?[0-9,]+(?:\.[0-9]+)?){_MAGNITUDE}?$", False, False, True))
-    return F.coalesce(*[F.when(t.rlike(p), _number(g(p, 1), g(p, 2) if scaled else F.lit(""), brackets, percent)) for p, brackets, percent, scaled in forms])
+    return bound(bare, lambda t: F.coalesce(*[F.when(t.rlike(p), _number(g(t, p, 1), g(t, p, 2) if scaled else F.lit(""), brackets, percent)) for p, brackets, percent, scaled in forms]))
 
 
 def _number(figure: Column, word: Column, brackets: bool, percent: bool) -> Column:
-    value, scale = F.regexp_replace(figure, ",", "").try_cast("double"), _scale(word)
-    value = value / 100 if percent else value * scale
-    made = F.struct((-value if brackets else value).alias("value"), (figure.contains(",") | (scale > 1)).alias("grouped"), places_left(figure, F.lit(percent), scale).cast("int").alias("places"), F.lit(brackets).alias("brackets"), F.lit(percent).alias("percent"), scale.alias("scale"))
-    return F.when(value.isNotNull(), made)
+
+    def made(n: Column) -> Column:
+        value = n["value"] / 100 if percent else n["value"] * n["scale"]
+        fields = F.struct((-value if brackets else value).alias("value"), (n["figure"].contains(",") | (n["scale"] > 1)).alias("grouped"), places_left(n["figure"], F.lit(percent), n["scale"]).cast("int").alias("places"), F.lit(brackets).alias("brackets"), F.lit(percent).alias("percent"), n["scale"].alias("scale"))
+        return F.when(n["value"].isNotNull(), fields)
+
+    read = lambda f: F.struct(f.alias("figure"), F.regexp_replace(f, ",", "").try_cast("double").alias("value"), _scale(word).alias("scale"))
+    return bound(figure, lambda f: bound(read(f), made))
 
 
 def auto_value(text: Column) -> Column:
     """(kind, number, text, format) of what a text becomes in a cell: a day count, a number, or literal text that no sheet
     takes for a formula."""
-    day, number = auto_date(text), one_number(text)
-    plain = collapsed(text)
-    literal = F.when(plain.rlike(r"^[=+@-]"), F.concat(F.lit("'"), plain)).otherwise(plain)
+    literal = lambda t: F.when(t.rlike(r"^[=+@-]"), F.concat(F.lit("'"), t)).otherwise(t)
     none = F.lit(None)
-    return F.coalesce(
-        F.when(day.isNotNull(), F.struct(F.lit("date").alias("kind"), sheet_day(day["value"]).cast("double").alias("number"), none.cast("string").alias("text"), date_format_of(day["kind"]).alias("format"))),
-        F.when(number.isNotNull(), F.struct(F.lit("number").alias("kind"), number["value"].alias("number"), none.cast("string").alias("text"), none.cast("string").alias("format"))),
-        F.struct(F.lit("text").alias("kind"), none.cast("double").alias("number"), literal.alias("text"), none.cast("string").alias("format")),
-    )
+    a_day = lambda d: F.when(d.isNotNull(), F.struct(F.lit("date").alias("kind"), sheet_day(d["value"]).cast("double").alias("number"), none.cast("string").alias("text"), date_format_of(d["kind"]).alias("format")))
+    a_number = lambda n: F.when(n.isNotNull(), F.struct(F.lit("number").alias("kind"), n["value"].alias("number"), none.cast("string").alias("text"), none.cast("string").alias("format")))
+    words = F.struct(F.lit("text").alias("kind"), none.cast("double").alias("number"), bound(collapsed(text), literal).alias("text"), none.cast("string").alias("format"))
+    return F.coalesce(bound(auto_date(text), a_day), bound(one_number(text), a_number), words)
 
 
 _PASSES = (
