@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmint.operators import evidence
 from parchmint.sources import layouts, sheets
-from parchmint.sources.tables import table
+from parchmint.sources.tables import dealt, table
 
 
 def typeset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def selection_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     line = lambda n, text, x, y, h: F.struct(F.lit(n).alias("line"), text.alias("text"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), (F.lit(x) + F.length(text) * h / 2).alias("x1"), F.lit(y + h).alias("y1"))
     name = F.concat(F.lit("No"), F.lpad(k.cast("string"), 8, "0"))
-    words = table(spark, sf_dir, "customer").select(k.alias("page"), F.explode(F.array(line(1, F.lit("second"), 0.1, 0.2, 0.02), line(2, F.lit("2"), 0.2015, 0.098, 0.008), line(3, name, 0.1, 0.1, 0.02), line(4, F.lit("outside"), 0.1, 0.245, 0.02))).alias("l")).select("page", "l.*")
+    words = dealt(table(spark, sf_dir, "customer"), k).select(k.alias("page"), F.explode(F.array(line(1, F.lit("second"), 0.1, 0.2, 0.02), line(2, F.lit("2"), 0.2015, 0.098, 0.008), line(3, name, 0.1, 0.1, 0.02), line(4, F.lit("outside"), 0.1, 0.245, 0.02))).alias("l")).select("page", "l.*")
     glyphs = layouts.word_glyphs(words, ("page", "line"))
     regions = table(spark, sf_dir, "customer").select(k.alias("region"), k.alias("page"), F.lit(0.05).alias("x0"), F.lit(0.05).alias("y0"), F.lit(0.5).alias("x1"), F.lit(0.25).alias("y1"))
     return layouts.selected_texts(glyphs, regions)
