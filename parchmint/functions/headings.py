@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parchmint.functions.scalars import bound
+
 # Small words that don't count when a title's capitals do, and the marks trimmed from a title's ends.
 TITLE_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with", "without")
 TITLE_EDGES = " \t“”‘’\"'"
@@ -46,13 +48,12 @@ def heading_title(rest: Column) -> Column:
 def is_title(text: Column, separated: Column | None = None) -> Column:
     """At most 180 characters and 24 words, no question, exclamation or sentence; and seven in ten of its words that mean
     something capitalised, unless a printed separator ``separated`` already shows a heading. Nothing at all is a title."""
-    t = F.trim(text)
-    words = F.regexp_extract_all(t, F.lit(r"\p{L}+"), F.lit(0))
-    meant = F.filter(words, lambda w: ~F.lower(w).isin(*TITLE_WORDS))
-    capital = F.filter(meant, lambda w: w.rlike(r"^\p{Lu}"))
-    shaped = (F.length(t) <= TITLE_CHARS) & ~t.rlike(r"[?!;.]$") & F.size(words).between(1, TITLE_MOST_WORDS)
-    shown = (F.size(meant) > 0) & (F.size(capital) >= TITLE_SHARE * F.size(meant))
-    return (t == "") | shaped & (shown if separated is None else separated | shown)
+    meant_of = lambda words: F.filter(words, lambda w: ~F.lower(w).isin(*TITLE_WORDS))
+    capital = lambda meant: F.size(F.filter(meant, lambda w: w.rlike(r"^\p{Lu}")))
+    shown = lambda words: bound(meant_of(words), lambda m: (F.size(m) > 0) & (capital(m) >= TITLE_SHARE * F.size(m)))
+    told = lambda words: F.size(words).between(1, TITLE_MOST_WORDS) & (shown(words) if separated is None else separated | shown(words))
+    words_of = lambda t: F.regexp_extract_all(t, F.lit(r"\p{L}+"), F.lit(0))
+    return bound(F.trim(text), lambda t: (t == "") | (F.length(t) <= TITLE_CHARS) & ~t.rlike(r"[?!;.]$") & bound(words_of(t), told))
 
 
 def roman(raw: Column) -> Column:
@@ -78,18 +79,21 @@ def note_id(raw: Column) -> Column:
 
 def _heading(number: Column, rest: Column, refused: Column, strict: Column | None = None) -> Column:
     """(id, title, continued) where number and title are those of a heading."""
-    continued, separated = goes_on(rest), rest.rlike(_SEPARATOR)
-    title = heading_title(rest)
-    listed = F.trim(rest).startswith(",")
-    fine = continued | is_title(title, separated if strict is None else separated & ~strict)
-    return F.when(number.isNotNull() & ~refused & ~listed & fine, F.struct(number.alias("id"), title.alias("title"), continued.alias("continued")))
+
+    def made(h: Column) -> Column:
+        separated = h["rest"].rlike(_SEPARATOR)
+        fine = h["continued"] | is_title(h["title"], separated if strict is None else separated & ~strict)
+        return F.when(~h["refused"] & ~F.trim(h["rest"]).startswith(",") & fine, F.struct(h["id"].alias("id"), h["title"].alias("title"), h["continued"].alias("continued")))
+
+    read = lambda h: F.struct(h["id"].alias("id"), h["rest"].alias("rest"), h["refused"].alias("refused"), heading_title(h["rest"]).alias("title"), goes_on(h["rest"]).alias("continued"))
+    return bound(F.struct(number.alias("id"), rest.alias("rest"), refused.alias("refused")), lambda h: F.when(h["id"].isNotNull(), bound(read(h), made)))
 
 
 def item_heading(text: Column) -> Column:
     """``Item 1A. Risk Factors`` as (id, title, continued); null for prose, lists and items of rules ("of Regulation S-K")."""
     pattern = rf"(?i)^\s*item\s+({ITEM_ID})\b(.*?)\s*$"
-    rest = _group(text, pattern, 2)
-    return _heading(item_id(_group(text, pattern, 1)), without_leaders_kept(rest), rest.rlike(_OF_RULES))
+    parts = F.struct(_group(text, pattern, 1).alias("id"), _group(text, pattern, 2).alias("rest"))
+    return F.when(text.rlike(r"(?i)^\s*item\s"), bound(parts, lambda p: _heading(item_id(p["id"]), without_leaders_kept(p["rest"]), p["rest"].rlike(_OF_RULES))))
 
 
 def without_leaders_kept(rest: Column) -> Column:
@@ -100,20 +104,20 @@ def without_leaders_kept(rest: Column) -> Column:
 def part_heading(text: Column) -> Column:
     """The Roman number of a line that is a part's heading, alone or with the part's name; else null."""
     pattern = r"(?i)^\s*part\s+([IVXLCDM]{1,6})\b([\s.–—:-]*)(.*?)\s*$"
-    rest = _group(text, pattern, 3)
-    return F.when(~rest.startswith(",") & is_title(without_leaders(rest)), roman(_group(text, pattern, 1)))
+    made = lambda rest: F.when(~rest.startswith(",") & is_title(without_leaders(rest)), roman(_group(text, pattern, 1)))
+    return F.when(text.rlike(r"(?i)^\s*part\s"), bound(_group(text, pattern, 3), made))
 
 
 def note_heading(text: Column, bare_allowed: Column | None = None) -> Column:
     """``Note 3 — Leases`` as (id, title, continued, explicit); ``3. Leases`` too where bare numbers may head a note."""
     named, bare = rf"(?i)^\s*note\s+({NOTE_ID})(?![0-9A-Za-z])(.*?)\s*$", rf"^\s*({NOTE_ID})(?![0-9A-Za-z]|\.[0-9])((?:\s*[.:–—-]|\s).*?|)\s*$"
-    full = _heading(note_id(_group(text, named, 1)), _group(text, named, 2), F.lit(False))
-    one = lambda h, e: F.when(h.isNotNull(), F.struct(h["id"].alias("id"), h["title"].alias("title"), h["continued"].alias("continued"), F.lit(e).alias("explicit")))
+    full = F.when(text.rlike(r"(?i)^\s*note\s"), bound(_group(text, named, 1), lambda raw: _heading(note_id(raw), _group(text, named, 2), F.lit(False))))
+    told = lambda h, e: F.struct(h["id"].alias("id"), h["title"].alias("title"), h["continued"].alias("continued"), F.lit(e).alias("explicit"))
+    one = lambda heading, e, fits=lambda h: F.lit(True): bound(heading, lambda h: F.when(h.isNotNull() & fits(h), told(h, e)))
     if bare_allowed is None:
         return one(full, True)
-    short = _heading(note_id(_group(text, bare, 1)), _group(text, bare, 2), F.lit(False), strict=F.lit(True))
-    named_line = text.rlike(named)
-    return F.coalesce(one(full, True), F.when(bare_allowed & ~named_line & (short["title"] != ""), one(short, False)))
+    short = bound(_group(text, bare, 1), lambda raw: _heading(note_id(raw), _group(text, bare, 2), F.lit(False), strict=F.lit(True)))
+    return F.coalesce(one(full, True), F.when(bare_allowed & ~text.rlike(named), one(short, False, lambda h: h["title"] != "")))
 
 
 def opens_notes(text: Column) -> Column:

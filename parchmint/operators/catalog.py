@@ -2,7 +2,8 @@
 
 Lines are rows (doc, page, line, text, left, right, top, bottom, char: the median width of its characters, height: their
 median height). Everything is windows, equi-joins and grouping per document, but for the rows of one page, which a kernel
-reads page by page: which lines share a band, and which bands fold into one contents row.
+reads page by page: which lines share a band, and which bands fold into one contents row. Contents rows and headings are read
+by several steps each and rest on long expressions, so they are kept: without that every step plans and runs them anew.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.functions import headings as H
+from parchmint.operators.grouping import fold_groups, kept
 
 #: A page with so many item rows, at least so many and such a share of them with a page number in the right column, is contents.
 CONTENTS_ROWS, NUMBERED_SHARE, NUMBER_LEFT = 3, 0.5, 0.6
@@ -40,7 +42,7 @@ def page_bands(boxes: list[tuple[float, float, float]]) -> list[int]:
     return out
 
 
-_ROW = pa.schema([("doc", pa.int64()), ("page", pa.int64()), ("nth", pa.int64()), ("part", pa.string()), ("id", pa.string()), ("title", pa.string()), ("printed_page", pa.string()), ("lines", pa.list_(pa.int64()))])
+_FIELDS = ("doc", "page", "nth", "part", "id", "title", "printed_page", "lines")
 ROW = "doc long, page long, nth long, part string, id string, title string, printed_page string, lines array<long>"
 
 
@@ -90,9 +92,8 @@ def _contents(page: list[dict]) -> list[tuple]:
     return [(n, *row) for n, row in enumerate(out)] if titled or sum(r[1] is not None for r in out) >= CONTENTS_ROWS else []
 
 
-def _contents_kernel(key: tuple, page: pa.Table) -> pa.Table:
-    rows = [(key[0].as_py(), key[1].as_py(), *r) for r in _contents(sorted(page.to_pylist(), key=lambda x: x["line"]))]
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROW)], schema=_ROW)
+def _contents_rows(page: list[dict]) -> list[dict]:
+    return [dict(zip(_FIELDS, (page[0]["doc"], page[0]["page"], *r), strict=True)) for r in _contents(sorted(page, key=lambda x: x["line"]))]
 
 
 def contents_rows(lines: DataFrame) -> DataFrame:
@@ -105,10 +106,10 @@ def contents_rows(lines: DataFrame) -> DataFrame:
     )
     # only pages that could be contents reach the kernel
     enough = F.count(F.when(F.col("item").isNotNull(), 1)).over(Window.partitionBy("doc", "page")) >= CONTENTS_ROWS
-    rows = told.withColumn("enough", enough).where("enough").drop("enough").groupBy("doc", "page").applyInArrow(_contents_kernel, ROW)
+    rows = fold_groups(told.withColumn("enough", enough).where("enough").drop("enough"), ["doc", "page"], _contents_rows, ROW, placed=True)
     order = Window.partitionBy("doc").orderBy("page", "nth")
     carried = F.coalesce(F.last("part", ignorenulls=True).over(order), F.lit(""))
-    return rows.withColumn("part", carried).where("id is not null").select("doc", "page", "nth", "id", "part", "title", "printed_page", "lines")
+    return kept(rows.withColumn("part", carried).where("id is not null").select("doc", "page", "nth", "id", "part", "title", "printed_page", "lines"))
 
 
 def _extends(text: str, cur: str, left: Column) -> Column:
@@ -153,7 +154,7 @@ def item_headings(lines: DataFrame, contents: DataFrame) -> DataFrame:
     parts = rest.select("doc", "page", "line", H.part_heading(F.col("text")).alias("part")).where("part is not null")
     both = found.withColumn("part", F.lit(None).cast("string")).unionByName(parts, allowMissingColumns=True)
     carried = F.coalesce(F.last("part", ignorenulls=True).over(Window.partitionBy("doc").orderBy("page", "line")), F.lit(""))
-    return both.withColumn("part", carried).where("id is not null").select("doc", "page", "line", "id", "part", "title", "continued", "lines")
+    return kept(both.withColumn("part", carried).where("id is not null").select("doc", "page", "line", "id", "part", "title", "continued", "lines"))
 
 
 def canonical_titles(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -197,8 +198,8 @@ def note_headings(lines: DataFrame) -> DataFrame:
     of_doc = Window.partitionBy("doc")
     named = F.max("explicit").over(of_doc)
     digits = F.max(~F.col("explicit") & F.col("id").rlike("^[0-9]")).over(of_doc)
-    kept = F.when(F.col("named"), F.col("explicit")).otherwise(~F.col("digits") | F.col("id").rlike("^[0-9]"))
-    return found.withColumn("named", named).withColumn("digits", digits).where(kept).select("doc", "page", "line", "id", "title", "continued", "explicit", "lines")
+    own = F.when(F.col("named"), F.col("explicit")).otherwise(~F.col("digits") | F.col("id").rlike("^[0-9]"))
+    return kept(found.withColumn("named", named).withColumn("digits", digits).where(own).select("doc", "page", "line", "id", "title", "continued", "explicit", "lines"))
 
 
 def note_catalogue(headings: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmint.operators import catalog, evidence, lists, search
-from parchmint.sources.tables import grouped, money, table
+from parchmint.sources.tables import dealt, grouped, money, table
 
 CHAR, TALL = 0.006, 0.01
 
@@ -17,7 +17,7 @@ def _printed(rows: DataFrame, doc: Column, lines: list[tuple], when: dict[int, C
     for i, (page, text, left, top, *tall) in enumerate(lines):
         made.append(F.struct(F.lit(page).cast("long").alias("page"), F.lit(i).cast("long").alias("line"), (F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(float(left)).alias("left"),
             F.lit(float(top)).alias("top"), F.lit(float(tall[0] if tall else TALL)).alias("height"), (when or {}).get(i, F.lit(True)).alias("shown")))
-    out = rows.select(doc.alias("doc"), F.explode(F.filter(F.array(*made), lambda x: x["shown"])).alias("l"))
+    out = dealt(rows, doc).select(doc.alias("doc"), F.explode(F.filter(F.array(*made), lambda x: x["shown"])).alias("l"))
     return out.select(F.col("doc").cast("long").alias("doc"), "l.page", "l.line", "l.text", "l.left", (F.col("l.left") + F.length("l.text") * CHAR).alias("right"), "l.top", (F.col("l.top") + F.col("l.height")).alias("bottom"), F.lit(CHAR).alias("char"), "l.height")
 
 
