@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchmint.functions import scalars
+from parchmint.operators.grouping import kept
 from parchmint.operators.windows import first_wins
 
 
@@ -17,13 +18,52 @@ def normalized(c: Column) -> Column:
     return F.regexp_replace(t, r"[.,;:!?]+$", "")
 
 
-_PROBE = 8  # characters of a key that choose its pages; three digits of a number would meet a share of all pages
+_HEAD, _HEADS = 4, 10_000  # characters that open a key, at most, and how many openings are broadcast
 
 
-def _grams(c: Column, size: Column) -> Column:
-    """The distinct pieces of ``size`` characters of a text."""
-    n = F.length(c) - size + 1
-    return F.array_distinct(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, size)))
+def _openings(keys: DataFrame) -> DataFrame:
+    """(head, lengths): how keys open, and how long those are that open so; ``_HEADS`` rows at most, so it can be broadcast.
+
+    Heads have the most characters up to ``_HEAD`` that keep within that many rows; with none, one row has all lengths.
+    """
+    most = keys.select(F.left("key", F.lit(_HEAD)).alias("most"), F.length("key").alias("length")).distinct()
+    cut = most.select(F.explode(F.sequence(F.lit(0), F.lit(_HEAD))).alias("cut"), "most", "length")
+    heads = cut.groupBy("cut", F.left("most", F.col("cut")).alias("head")).agg(F.collect_set("length").alias("lengths"))
+    fit = heads.groupBy("cut").agg(F.count("*").alias("n")).where(F.col("n") <= _HEADS).agg(F.max("cut").alias("cut"))
+    return heads.join(F.broadcast(fit), "cut").select("head", "lengths")
+
+
+def _occurrences(keys: DataFrame, pages: DataFrame) -> DataFrame:
+    """(key, doc, page) once for each page whose text has the key anywhere. Each place of a text that opens like some keys
+    gives the pieces of those keys' lengths, and pieces meet keys in one equi-join: no row is made but of whole candidates."""
+    heads = _openings(keys)
+    sizes = heads.select(F.length("head").alias("size")).distinct()
+    n = F.length("text") - F.greatest("size", F.lit(1)) + 1
+    places = pages.join(F.broadcast(sizes), n > 0).select("doc", "page", "text", "size", F.explode(F.sequence(F.lit(1), n)).alias("at"))
+    opened = places.withColumn("head", F.substring("text", F.col("at"), F.col("size"))).join(F.broadcast(heads), "head").select("doc", "page", "text", "at", F.explode("lengths").alias("length"))
+    pieces = opened.where(F.col("at") + F.col("length") - 1 <= F.length("text")).select(F.substring("text", F.col("at"), F.col("length")).alias("key"), "doc", "page")
+    return pieces.join(keys.select("key").distinct().hint("merge"), "key", "left_semi").distinct()
+
+
+def _most(keys: DataFrame, found: DataFrame, row: list[str], key: list[str], at: str, name: str) -> DataFrame:
+    """(row, at, name): the place where most of a row's keys (``ord``) are found, the first of equals, and how many.
+
+    ``found``: key, at, once each. A key found in many places is not spread over all rows that have it: a place with two of a
+    row's keys has one besides the key that is found most, so the places of the others and the first place of that one are all
+    that can win; their keys are then looked up by key and place. Joins are sort-merge joins: a table that looks small in its
+    file is not sent to the driver.
+    """
+    spread = found.groupBy(*key).agg(F.count("*").alias("n"), F.min(at).alias("first"))
+    met = keys.join(spread.hint("merge"), key).repartition("row").groupBy(*row).agg(F.collect_list(F.struct("n", "ord", "key", "first")).alias("met"))
+    met = met.select(*row, "met", F.array_max("met")["ord"].alias("last"))
+    of_last = F.filter("met", lambda x: x["ord"].eqNullSafe(F.col("last")))
+    rest = met.select(*row, "last", F.transform(of_last, lambda x: x["key"]).alias("tail"), F.explode(F.filter("met", lambda x: ~x["ord"].eqNullSafe(F.col("last")))).alias("x"))
+    able = rest.select(*row, "last", "tail", F.col("x")["ord"].alias("ord"), F.col("x")["key"].alias("key")).join(found.hint("merge"), key)
+    asked = able.select(*row, at, "ord", "last", F.explode("tail").alias("key")).join(found.withColumn("hit", F.lit(True)).hint("merge"), [*key, at], "left")
+    first = met.select(*row, F.array_min(F.transform(of_last, lambda x: x["first"])).alias(at), F.col("last").alias("ord"), F.lit(None).alias("also"))
+    hits = asked.select(*row, at, "ord", F.when(F.col("hit"), F.col("last")).alias("also")).unionByName(first).repartition("row")
+    counts = hits.select(*row, at, F.explode(F.array("ord", "also")).alias("ord")).groupBy(*row, at).agg(F.countDistinct("ord").alias(name))
+    return first_wins(counts, row, [F.col(name).desc(), F.col(at)])
 
 
 def link_rows(keys: DataFrame, pages: DataFrame) -> DataFrame:
@@ -31,23 +71,14 @@ def link_rows(keys: DataFrame, pages: DataFrame) -> DataFrame:
     document's best page; the first document and page win ties; rows without a hit are left out.
 
     ``keys``: row, ord, key; ``pages``: doc, page, text. A key is found wherever its normalised text is a part of the
-    page's. Instead of comparing all keys with all pages, each key meets the pages that have its rarest eight characters
-    (all of a shorter key), an equi-join, and is then looked for there.
+    page's.
     """
-    k = keys.select("row", "ord", normalized(F.col("key")).alias("key")).where("key <> ''")
-    p = pages.select("doc", "page", normalized(F.col("text")).alias("text"))
-    own = k.select("key").distinct().withColumn("gram", F.explode(_grams(F.col("key"), F.least(F.length("key"), F.lit(_PROBE)))))
-    sizes = F.explode(F.sequence(F.lit(1), F.lit(_PROBE))).alias("size")
-    short = F.broadcast(k.select(F.least(F.length("key"), F.lit(_PROBE)).alias("size")).distinct())  # _PROBE rows at most
-    index = p.select("doc", "page", "text", sizes).join(short, "size").select("doc", "page", F.explode(_grams(F.col("text"), F.col("size"))).alias("gram"))
-    common = own.select("gram").distinct().join(index, "gram").groupBy("gram").agg(F.count("*").alias("n"))
-    probe = own.join(common, "gram").groupBy("key").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    pairs = probe.join(index, "gram").select("key", "doc", "page").join(p, ["doc", "page"]).where(F.expr("contains(text, key)"))
-    hits = pairs.select("key", "doc", "page").join(k, "key").select("row", "ord", "doc", "page").distinct()
-    in_doc = hits.groupBy("row", "doc").agg(F.countDistinct("ord").alias("keys"))
-    best = first_wins(in_doc, ["row"], [F.col("keys").desc(), F.col("doc")])
-    on_page = hits.join(best.select("row", "doc", "keys"), ["row", "doc"]).groupBy("row", "doc", "keys", "page").agg(F.countDistinct("ord").alias("found"))
-    return first_wins(on_page, ["row"], [F.col("found").desc(), F.col("page")]).select("row", "doc", "page", "found", "keys")
+    k = keys.select("row", "ord", F.explode(F.array(normalized(F.col("key")))).alias("key")).where("key <> '' AND row IS NOT NULL")
+    p = pages.where("doc IS NOT NULL AND page IS NOT NULL").select("doc", "page", F.explode(F.array(normalized(F.col("text")))).alias("text"))
+    found = kept(_occurrences(k, p), once=True)
+    best = _most(k, found.select("key", "doc").distinct(), ["row"], ["key"], "doc", "keys")
+    inside = k.join(best.hint("merge"), "row")
+    return _most(inside, found, ["row", "doc", "keys"], ["key", "doc"], "page", "found").select("row", "doc", "page", "found", "keys")
 
 
 def search_lines(lines: DataFrame, query: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parchmint.functions import scalars
 from parchmint.operators import library, windows
 from parchmint.sources import decoders
-from parchmint.sources.tables import grouped, money, table
+from parchmint.sources.tables import dealt, grouped, money, table
 from parchmint.streaming import spans as stream
 
 
@@ -19,7 +19,7 @@ def linked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.row_number().over(windows.Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     lines = o.withColumn("page", F.floor((page - 1) / 4)).select(F.col("o_custkey").alias("doc"), "page", "o_orderkey", F.concat(F.lit("Order #"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit("; due $"), grouped(F.col("p"))).alias("line"))
     pages = lines.groupBy("doc", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), " ").alias("text"))
-    keys = o.select(F.col("o_orderkey").alias("row"), F.posexplode(F.array(F.concat(F.lit("order #"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")), F.concat(F.lit("$"), grouped(F.col("p"))))).alias("ord", "key"))
+    keys = dealt(o, F.col("o_orderkey")).select(F.col("o_orderkey").alias("row"), F.posexplode(F.array(F.concat(F.lit("order #"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")), F.concat(F.lit("$"), grouped(F.col("p"))))).alias("ord", "key"))
     return library.link_rows(keys, pages).select("row", "doc", "page", "found", "keys")
 
 

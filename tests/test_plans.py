@@ -1,5 +1,6 @@
 """Registered queries over whole tables, against SQL or a plain fold of all rows."""
 
+import random
 from collections import Counter
 from decimal import Decimal
 
@@ -35,6 +36,47 @@ def test_links_of_keys_about_the_probe_length(spark):
     assert got == {n: 1 for n in range(len(cut))} | {len(cut) + 1: 2, len(cut) + 2: 2}
 
 
+def _best_links(keys, pages):
+    """The links of keys to pages by comparing all with all; texts are in normal form already."""
+    met = {}
+    for row, order, key in keys:
+        for doc, page, text in pages:
+            if key and None not in (row, doc, page) and key in (text or ""):
+                met.setdefault(row, {}).setdefault(doc, {}).setdefault(page, set()).add(order)
+    out = []
+    for row, docs in met.items():
+        n = {doc: len(set().union(*p.values())) for doc, p in docs.items()}
+        doc = min(n, key=lambda d: (-n[d], d))
+        page = min(docs[doc], key=lambda p: (-len(docs[doc][p]), p))
+        out.append((row, doc, page, len(docs[doc][page]), n[doc]))
+    return sorted(out)
+
+
+def test_links_as_by_comparing_all_with_all(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("aab é𝄞") for _ in range(n)).strip() or "a"
+    text = lambda n: " ".join(word(n).split())
+    pages = [(d, p, text(rng.randint(1, 40))) for d in range(12) for p in range(5) for _ in range(rng.randint(1, 2))] + [(3, 9, None), (None, 1, "aaaa"), (1, None, "aaaa"), (2, 9, ""), (4, 9, "b" * 30)]
+    keys = [(r, o, text(rng.randint(1, 7))) for r in range(150) for o in range(rng.randint(1, 4)) for _ in range(rng.randint(1, 2))] + [(None, 0, "a"), (900, 0, None), (901, 0, "b" * 30), (902, 0, "b" * 31), (903, 0, "a"), (903, 0, "a")]
+    got = library.link_rows(spark.createDataFrame(keys, "row int, ord int, key string"), spark.createDataFrame(pages, "doc int, page int, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == _best_links(keys, pages)
+    assert library.link_rows(spark.createDataFrame([], "row int, ord int, key string"), spark.createDataFrame(pages, "doc int, page int, text string")).count() == 0
+
+
+def test_links_send_no_table_to_the_driver(spark):
+    """Nothing that grows with the rows or pages is broadcast, however small its file looks; of openings there are few."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10_000_000
+    assert "Broadcast" not in plan(library_plans.linked_rows(spark, SMALL))
+    names = [f"{n * 7919 % 1048576:05x}" for n in range(60_000)]
+    keys = spark.createDataFrame([(n, 0, name) for n, name in enumerate(names)], "row int, ord int, key string")
+    assert len({name[:4] for name in names}) > library._HEADS >= library._openings(keys).count() > 16
+    pages = spark.createDataFrame([(n, 0, f"xx{name}yy") for n, name in enumerate(names[:500])], "doc int, page int, text string")
+    found = library._occurrences(keys, pages)
+    assert "SortMergeJoin" in next(x for x in plan(found).splitlines() if "LeftSemi" in x)
+    assert {(n, n) for n in range(500)} <= {(r["row"], r["doc"]) for r in keys.join(found, "key").collect()}
+
+
 def _pages_of_boxes():
     """Boxes of all order lines by page, built apart from the query."""
     rows = _sql("SELECT l_orderkey // 8, row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount), l_quantity, l_discount FROM lineitem", "lineitem")
