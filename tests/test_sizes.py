@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from parchmint.functions import headings, printed
-from parchmint.operators import grouping
+from parchmint.functions import headings, labels, printed
+from parchmint.operators import footing, grouping
 from parchmint.plans import structure, tables
 from parchmint.sources.tables import dealt
 
@@ -17,6 +17,7 @@ def _plan(df) -> str:
 def test_columns_compute_shared_values_once(spark):
     text = spark.range(1).select(F.col("id").cast("string").alias("t"))
     assert _plan(text.select(printed.auto_value(F.col("t")).alias("v"))).count("regexp_replace(trim(") <= 2
+    assert _plan(text.select(labels.is_net_component(F.col("t")).alias("v"))).count("regexp_replace(lower(") == 1
     assert _plan(text.select(headings.item_heading(F.col("t")).alias("v"))).count("regexp_extract(t") <= 2
 
 
@@ -64,3 +65,16 @@ def test_groups_of_a_union_are_whole_where_its_sides_are_coalesced_apart(spark):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def test_ties_of_runs_are_sought_once_a_row(monkeypatch):
+    from decimal import Decimal
+
+    asked = []
+    monkeypatch.setattr(footing.Column_, "value", lambda self, row, f=footing.Column_.value: asked.append(row) or f(self, row))
+    plain = {"block": 1, "label": "x", "dash": False, "decimals": 0, "text": "x", "signals": [], "closes_assets": False, "closes_claims": False, "name": "x", "result_column": False, "rate_column": False}
+    cells = [plain | {"row": r, "col": c, "value": Decimal(3 ** (r + 1) + c)} for r in range(40) for c in (1, 2)]
+    cells[-2]["value"], cells[-1]["value"] = (sum((c["value"] for c in cells[-8 + k : -2 : 2]), Decimal(0)) for k in (0, 1))
+    found = footing.foot_block(cells)
+    assert [(r["row"], r["col"], r["outcome"], r["members"]) for r in found] == [(39, 1, "confirmed", [36, 37, 38]), (39, 2, "confirmed", [36, 37, 38])]
+    assert len(asked) < 1000  # every run of every row by itself asks some 20,000 times
