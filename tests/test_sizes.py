@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import headings, labels, printed
 from parchmint.operators import footing, grouping
-from parchmint.plans import structure, tables
+from parchmint.plans import proofs, structure, tables
 from parchmint.sources.tables import dealt
 
 SMALL = "/root/testdata/sf0.001"
@@ -78,3 +78,7 @@ def test_ties_of_runs_are_sought_once_a_row(monkeypatch):
     found = footing.foot_block(cells)
     assert [(r["row"], r["col"], r["outcome"], r["members"]) for r in found] == [(39, 1, "confirmed", [36, 37, 38]), (39, 2, "confirmed", [36, 37, 38])]
     assert len(asked) < 1000  # every run of every row by itself asks some 20,000 times
+
+
+def test_totals_are_found_once(spark):
+    assert "InArrow" not in _plan(proofs.admitted_totals(spark, SMALL))
