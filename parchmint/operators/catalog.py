@@ -4,6 +4,7 @@ Lines are rows (doc, page, line, text, left, right, top, bottom, char: the media
 median height). Everything is windows, equi-joins and grouping per document, but for the rows of one page, which a kernel
 reads page by page: which lines share a band, and which bands fold into one contents row. Contents rows and headings are read
 by several steps each and rest on long expressions, so they are kept: without that every step plans and runs them anew.
+Joins are sort-merge joins: a table that looks small in its files takes many times its size once the driver broadcasts it.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def wrapped_headings(lines: DataFrame, heading: Column, word: str) -> DataFrame:
 def item_headings(lines: DataFrame, contents: DataFrame) -> DataFrame:
     """(doc, page, line, id, part, title, continued, lines): item headings outside of contents rows, under their part."""
     used = contents.select("doc", F.explode("lines").alias("line"), F.lit(True).alias("used"))
-    rest = lines.join(used, ["doc", "line"], "left").where("used is null").drop("used")
+    rest = lines.join(used.hint("merge"), ["doc", "line"], "left").where("used is null").drop("used")
     found = wrapped_headings(rest, H.item_heading(F.col("text")), "Item").drop("heading")
     parts = rest.select("doc", "page", "line", H.part_heading(F.col("text")).alias("part")).where("part is not null")
     both = found.withColumn("part", F.lit(None).cast("string")).unionByName(parts, allowMissingColumns=True)
@@ -183,7 +184,7 @@ def item_catalogue(contents: DataFrame, headings: DataFrame) -> DataFrame:
     entries = keyed.groupBy(*keys).agg(
         F.min(F.when(F.col("part") != "", F.struct(order, "part")))["part"].alias("part"), F.sum((F.col("source") == 0).cast("int")).cast("long").alias("in_contents"), F.sum("source").cast("long").alias("in_body"))
     toc, body = (canonical_titles(keyed.where(F.col("source") == s), keys).withColumnRenamed("title", n) for s, n in ((0, "toc"), (1, "body")))
-    out = entries.join(toc, keys, "left").join(body, keys, "left")
+    out = entries.join(toc.hint("merge"), keys, "left").join(body.hint("merge"), keys, "left")
     source = F.when(F.col("toc").isNotNull(), "contents").when(F.col("body").isNotNull(), "heading").otherwise("none")
     return out.select("doc", "id", F.coalesce("part", F.lit("")).alias("part"), F.coalesce("toc", "body", F.lit("")).alias("title"), source.alias("title_source"), "in_contents", "in_body")
 
@@ -206,7 +207,7 @@ def note_catalogue(headings: DataFrame) -> DataFrame:
     """(doc, id, title, headings): one entry a note."""
     rows = headings.withColumn("at", F.struct(F.col("page").cast("long").alias("page"), F.col("line").cast("long").alias("line")))
     titles = canonical_titles(rows, ["doc", "id"])
-    return headings.groupBy("doc", "id").agg(F.count("*").alias("headings")).join(titles, ["doc", "id"], "left").select("doc", "id", F.coalesce("title", F.lit("")).alias("title"), "headings")
+    return headings.groupBy("doc", "id").agg(F.count("*").alias("headings")).join(titles.hint("merge"), ["doc", "id"], "left").select("doc", "id", F.coalesce("title", F.lit("")).alias("title"), "headings")
 
 
 _CITED = {
@@ -247,7 +248,7 @@ def _citations(lines: DataFrame, kind: str, used: DataFrame) -> DataFrame:
     """(doc, page, line, id, part, title, start, end) of citations outside of the lines ``used``."""
     from functools import partial
 
-    rest = lines.join(used.select("doc", F.explode("lines").alias("line"), F.lit(True).alias("used")).distinct(), ["doc", "line"], "left").where("used is null")
+    rest = lines.join(used.select("doc", F.explode("lines").alias("line"), F.lit(True).alias("used")).distinct().hint("merge"), ["doc", "line"], "left").where("used is null")
     rest = rest.where(F.col("text").rlike(rf"(?i)\b{kind}s?\s+[0-9IVXLCDM]")).select("doc", "page", "line", "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema[:-1])
     c = rest.mapInArrow(partial(_cited_kernel, kind=kind), f"{schema}, cited {CITED}").select("doc", "page", "line", F.explode("cited").alias("c"))
@@ -261,12 +262,12 @@ def item_citations(lines: DataFrame, catalogue: DataFrame, contents: DataFrame,
     """Citations of catalogued items; an id with entries under several parts is resolved by the part named before it only."""
     c = _citations(lines, "item", contents.select("doc", "lines").union(headings.select("doc", "lines")))
     entries = catalogue.select("doc", "id", F.col("part").alias("entry_part"), F.count("*").over(Window.partitionBy("doc", "id")).alias("entries"))
-    return c.join(entries, ["doc", "id"]).where("entries = 1 or part = entry_part").select("doc", "page", "line", "id", "entry_part", "title", "start", "end")
+    return c.join(entries.hint("merge"), ["doc", "id"]).where("entries = 1 or part = entry_part").select("doc", "page", "line", "id", "entry_part", "title", "start", "end")
 
 
 def note_citations(lines: DataFrame, catalogue: DataFrame, headings: DataFrame) -> DataFrame:
     """(doc, page, line, ids, title, start, end): citations of catalogued notes, one row a citation with all its notes."""
-    c = _citations(lines, "note", headings.select("doc", "lines")).join(catalogue.select("doc", "id"), ["doc", "id"], "left_semi")
+    c = _citations(lines, "note", headings.select("doc", "lines")).join(catalogue.select("doc", "id").hint("merge"), ["doc", "id"], "left_semi")
     return c.groupBy("doc", "page", "line", "start", "end").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.first("title").alias("title"))
 
 
@@ -274,5 +275,5 @@ def applicability(lines: DataFrame, items: DataFrame, notes: DataFrame) -> DataF
     """(doc, searched, kind, items, notes): what each document is: a filing with items, a statement with notes, or
     neither; documents where nothing was found are there too, so absence is explicit."""
     n = lambda df, name: df.groupBy("doc").agg(F.count("*").alias(name))
-    out = lines.groupBy("doc").agg(F.count("*").alias("searched")).join(n(items, "items"), "doc", "left").join(n(notes, "notes"), "doc", "left").na.fill(0, ["items", "notes"])
+    out = lines.groupBy("doc").agg(F.count("*").alias("searched")).join(n(items, "items").hint("merge"), "doc", "left").join(n(notes, "notes").hint("merge"), "doc", "left").na.fill(0, ["items", "notes"])
     return out.withColumn("kind", F.when(F.col("items") > 0, "filing").when(F.col("notes") > 0, "statement").otherwise("neither")).select("doc", "searched", "kind", "items", "notes")

@@ -82,3 +82,13 @@ def test_ties_of_runs_are_sought_once_a_row(monkeypatch):
 
 def test_totals_are_found_once(spark):
     assert "InArrow" not in _plan(proofs.admitted_totals(spark, SMALL))
+
+
+def _run_plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalogues_broadcast_nothing_that_grows(spark):
+    for query in (structure.document_kinds, structure.item_catalogue, structure.item_citations):
+        assert "Broadcast" not in _run_plan(query(spark, SMALL))
