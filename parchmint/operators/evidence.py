@@ -21,7 +21,7 @@ def span_boxes(spans: DataFrame, glyphs: DataFrame, keys: tuple[str, ...] = ("do
     ``spans``: keys, start, end; ``glyphs``: keys, i (place in the line), char, x, y, w, h; spaces have no row.
     """
     line = glyphs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y", "w", "h"))).alias("_g"))
-    t = spans.join(line, list(keys), "left")
+    t = spans.join(line.hint("merge"), list(keys), "left")
     inside = F.filter("_g", lambda g: (g["i"] >= F.col("start")) & (g["i"] < F.col("end")))
     t = t.withColumn("_own", inside).withColumn("_before", F.filter("_g", lambda g: g["i"] < F.col("start"))).withColumn("_after", F.filter("_g", lambda g: g["i"] >= F.col("end")))
     low = lambda n: F.array_min(F.transform("_own", lambda g: g[n]))
@@ -68,7 +68,7 @@ def page_type(glyphs: DataFrame) -> DataFrame:
     shown = glyphs.where("h > 0")
     page = shown.groupBy("doc", "page").agg(F.count("*").alias("glyphs"), F.percentile("h", 0.5).alias("own"))
     doc = shown.groupBy("doc").agg(F.percentile("h", 0.5).alias("all"))
-    return page.join(doc, "doc").select("doc", "page", "glyphs", F.when(F.col("glyphs") >= TYPICAL_GLYPHS, F.col("own")).otherwise(F.col("all")).alias("typical"))
+    return page.join(doc.hint("merge"), "doc").select("doc", "page", "glyphs", F.when(F.col("glyphs") >= TYPICAL_GLYPHS, F.col("own")).otherwise(F.col("all")).alias("typical"))
 
 
 def edge_furniture(lines: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def edge_furniture(lines: DataFrame) -> DataFrame:
     else is furniture throughout. ``lines``: doc, page, line, text, top."""
     repeated = repeating_skeletons(lines).select("doc", "skeleton", F.lit(True).alias("repeated"))
     order = lines.where(F.trim("text") != "").withColumn("skeleton", scalars.skeleton(F.col("text"))).withColumn("at", F.row_number().over(Window.partitionBy("doc", "page").orderBy("top", "line")))
-    t = order.join(repeated, ["doc", "skeleton"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+    t = order.join(repeated.hint("merge"), ["doc", "skeleton"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
     page = Window.partitionBy("doc", "page")
     plain = F.when(~F.col("repeated"), F.col("at"))
     t = t.withColumn("first", F.min(plain).over(page)).withColumn("last", F.max(plain).over(page))
@@ -135,7 +135,7 @@ def page_contexts(pages: DataFrame) -> DataFrame:
     told = pages.select("doc", "page", best.alias("best"), scale.alias("scale")).select("doc", "page", F.when(F.col("best.n") > 0, F.col("best.code")).alias("currency"), "scale")
     votes = told.where("currency is not null").groupBy("doc", "currency").agg(F.count("*").alias("n"), F.min("page").alias("first"))
     doc = votes.groupBy("doc").agg(F.max_by("currency", F.struct("n", -F.col("first"))).alias("doc_currency"))
-    return told.join(doc, "doc", "left")
+    return told.join(doc.hint("merge"), "doc", "left")
 
 
 def _shared(p0: Column, p1: Column, q0: Column, q1: Column) -> Column:

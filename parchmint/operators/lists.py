@@ -123,9 +123,9 @@ def list_marks(lines: DataFrame) -> DataFrame:
     passage = (F.col("page") == F.lag("page").over(of_doc)) & (F.col("line") - F.lag("line").over(of_doc) <= vocab.INLINE_REACH)
     inline = _chains(c.where("place = 'inline'"), ["doc"], passage)
     marks = c.where("place in ('trailing', 'raised')")
-    alone = leading.where("bracketed").join(led.select("doc", "page", "line", "start"), ["doc", "page", "line", "start"], "left_anti")
+    alone = leading.where("bracketed").join(led.select("doc", "page", "line", "start").hint("merge"), ["doc", "page", "line", "start"], "left_anti")
     above = marks.select("doc", "page", "text", F.col("top").alias("mark_top"))
-    pointed = alone.join(above, ["doc", "page", "text"]).where("mark_top < top").groupBy("doc", "page", "line", "start", "end", "text").agg(F.count("*").alias("n")).where(F.col("n") >= vocab.FOOTNOTE_MARKS)
+    pointed = alone.join(above.hint("merge"), ["doc", "page", "text"]).where("mark_top < top").groupBy("doc", "page", "line", "start", "end", "text").agg(F.count("*").alias("n")).where(F.col("n") >= vocab.FOOTNOTE_MARKS)
     shape = ["doc", "page", "line", "start", "end", "text"]
     kind = F.when(F.col("bracketed"), "footnote-marker").otherwise("list-marker").alias("kind")
     out = led.select(*shape, kind).union(pointed.select(*shape, F.lit("footnote-marker"))).union(inline.select(*shape, F.lit("list-marker")))
@@ -133,7 +133,7 @@ def list_marks(lines: DataFrame) -> DataFrame:
     span = Window.partitionBy("doc", "chain")
     forms = ranges.select("doc", "text", F.min("page").over(span).alias("first"), F.max("page").over(span).alias("last")).union(pointed.select("doc", "text", "page", "page")).distinct()
     near = F.col("page").between(F.col("first") - vocab.FOOTNOTE_PAGES, F.col("last"))
-    pointing = marks.join(forms, ["doc", "text"]).where(near).select(*shape).distinct().join(out.select("doc", "page", "line", "start"), ["doc", "page", "line", "start"], "left_anti")
+    pointing = marks.join(forms.hint("merge"), ["doc", "text"]).where(near).select(*shape).distinct().join(out.select("doc", "page", "line", "start").hint("merge"), ["doc", "page", "line", "start"], "left_anti")
     return out.union(pointing.select(*shape, F.lit("footnote-reference")))
 
 
@@ -144,4 +144,4 @@ def fenced(spans: DataFrame, claims: DataFrame, keys: tuple[str, ...] = ("doc",
     """
     told = claims.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_claims"))
     shared = F.filter("_claims", lambda c: (F.col("start") < c["end"]) & (F.col("end") > c["start"]))
-    return spans.join(told, list(keys), "left").withColumn("role", F.get(shared, F.lit(0))["kind"]).drop("_claims")
+    return spans.join(told.hint("merge"), list(keys), "left").withColumn("role", F.get(shared, F.lit(0))["kind"]).drop("_claims")

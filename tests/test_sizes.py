@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import headings, labels, printed
 from parchmint.operators import footing, grouping
-from parchmint.plans import proofs, structure, tables
+from parchmint.plans import proofs, structure, tables, values
 from parchmint.sources.tables import dealt
 
 SMALL = "/root/testdata/sf0.001"
@@ -92,3 +92,8 @@ def _run_plan(df) -> str:
 def test_catalogues_broadcast_nothing_that_grows(spark):
     for query in (structure.document_kinds, structure.item_catalogue, structure.item_citations):
         assert "Broadcast" not in _run_plan(query(spark, SMALL))
+
+
+def test_figures_and_totals_broadcast_nothing_that_grows(spark):
+    for query in (values.document_figures, proofs.admitted_totals, values.proved_pages):
+        assert "Broadcast" not in _run_plan(query(spark, SMALL))
